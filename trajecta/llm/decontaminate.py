@@ -198,11 +198,15 @@ def find_spans(part: T.Slice, phrases: Phrases) -> tuple[T.Words, np.ndarray, li
     return w, np.cumsum(cover[:-1]) > 0, items
 
 
+def _n_blocks(benchmark: DataFrame, block_bytes: int) -> int:
+    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n
+    return max(1, -(-size // block_bytes))
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The benchmark in blocks of about ``block_bytes``: one, unless its size asks for more."""
     own = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("n")).first().n
-    n = max(1, -(-size // block_bytes))
+    n = _n_blocks(benchmark, block_bytes)
     own = own.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     for k in range(n):
         yield [(r.item_id, r.text) for r in own.where(F.col("block") == k).collect()]
@@ -268,6 +272,32 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, p
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256")).withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The documents that aren't contaminated, with all their columns; one pass while the benchmark is one block."""
+    blocks = list(_blocks(benchmark, block_bytes)) if _n_blocks(benchmark, block_bytes) == 1 else []
+    if not blocks:
+        bad = contamination_keys(docs, benchmark, window, percent, block_bytes)
+        own = docs.withColumn("_key", F.xxhash64("text"))
+        return own.join(bad, own.doc_id.cast("long").eqNullSafe(bad.doc_id) & (own["_key"] == bad.key), "left_anti").drop("_key")
+    shared = docs.sparkSession.sparkContext.broadcast(blocks[0])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = Phrases(shared.value, window)
+        for part in T.slices(batches):
+            w, hit, _ = find_spans(part, phrases)
+            n_hit = T.per_doc_sum(hit, w.offsets)
+            yield part.batch.filter(pa.array(~((n_hit > 0) & (100 * n_hit >= percent * w.counts))))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def contamination_keys(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, percent: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, key) of contaminated documents; key tells rows of one doc_id apart by their text."""
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"])
+    found = removal_spans(docs, benchmark, window, block_bytes)
+    return found.where((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).select("doc_id", "key").distinct()
+
+
 SQL = r"""
 WITH b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 win AS (SELECT DISTINCT item_id, least(13, len(ws)) AS n, array_to_string(ws[i : i + least(13, len(ws)) - 1], ' ') AS s

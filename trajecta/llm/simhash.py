@@ -123,3 +123,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.select("fp", "root").join(named, "root").select("fp", "component_id")
     return found.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """The document with the smallest doc_id of every class, with all its columns.
+
+    Of rows with equal doc_id one stays. A document without an id names no class and stays.
+    """
+    kept = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    named = docs.where(F.col("doc_id").isNotNull())
+    one = named.join(kept, named.doc_id == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))
