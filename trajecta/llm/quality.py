@@ -117,7 +117,7 @@ RULES = (
 BASE_RULES = RULES[:2]
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> list[tuple[str, float, float]]:
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> list[tuple[str, float, float]]:
     """(rule, seconds a document, share rejected) on a sample of at most ``sample_rows`` documents, timed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +129,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
                 rows.append((rule.name, time.thread_time() - began, rejected, part.n))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rule", "seconds", "rejected", "n"])
 
-    found = docs.select("text").limit(sample_rows).mapInArrow(run, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
+    own = docs.select(F.col("text").cast("string").alias("text"))
+    sample = docs.sparkSession.createDataFrame(own.take(sample_rows), own.schema)  # take() reads only as many files as it needs
+    found = sample.mapInArrow(run, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     return [(x.rule, x.s / x.n, x.r / x.n) for x in found]
 
 
@@ -154,7 +156,7 @@ def cascade(part: T.Slice, rules: tuple[Rule, ...]) -> np.ndarray:
     return passed
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> DataFrame:
     """(doc_id, kept): the cascade alone, with nothing measured that it doesn't need."""
     ordered = order_rules(rules, estimate(docs, rules, sample_rows))
 
@@ -165,7 +167,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kept boolean")
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 512) -> DataFrame:
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> DataFrame:
     """Per document the measurements, whether a base rule fails, and the cascade's verdict.
 
     The measurements are part of the result, so they are all made here; the cascade then runs over
