@@ -77,7 +77,7 @@ def test_tokens(spark, texts):
 def test_words_encode_like_texts(text):
     from tokenizers import Tokenizer
 
-    model = tokens.encoder_for(open(tokenizer_file(), encoding="utf-8").read())
+    model = tokens.WordEncoder(open(tokenizer_file(), encoding="utf-8").read())
     assert model.encode(text.encode(), None).tolist() == model._tokenizer.encode(text, add_special_tokens=False).ids
     assert Tokenizer
 
