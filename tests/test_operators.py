@@ -105,3 +105,20 @@ def test_incomplete_metric_has_no_mean(spark):
     df = spark.createDataFrame([("a", 1.0, False), ("a", None, True), ("b", 2.0, False), ("b", None, False)], "g string, m double, failed boolean")
     got = {(r.g, r.overall): r.m for r in stats.metric_summary(df, ["m"], F.col("failed"), "g").collect()}
     assert got == {("a", 0): 1.0, ("b", 0): None, (None, 1): None}
+
+
+def test_linked_order_leaves_rings_out(spark):
+    from trajecta.operators import chains
+
+    rows = [(f"n{i}", f"n{i + 1}") for i in range(9)] + [("n9", None), ("r1", "r2"), ("r2", "r3"), ("r3", "r1"), ("s", "gone")]
+    got = {r.token: (r.head, r.position) for r in chains.linked_order(spark.createDataFrame(rows, "token string, following string"), "token", "following").collect()}
+    assert got == {f"n{i}": ("n0", i) for i in range(10)} | {"s": ("s", 0)}
+    assert chains.linked_order(spark.createDataFrame([], "token string, following string"), "token", "following").count() == 0
+
+
+def test_dense_numbers(spark):
+    from trajecta.operators import chains
+
+    got = chains.dense_numbers(spark.range(0, 1000, 3).repartition(5), ["id"]).collect()
+    assert {r.id: r.number for r in got} == {i: n for n, i in enumerate(range(0, 1000, 3))}
+    assert chains.dense_numbers(spark.range(0), ["id"]).count() == 0

@@ -42,3 +42,35 @@ def test_adapters(spark, tmp_path):
 
 def test_column_contract(spark):
     assert dataset.required_columns(spark.range(1), ["id", "x"], ["id"]) == ["missing x", "forbidden id"]
+
+
+def test_point_paths(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"folder": "a", "task_desc": "go", "gt_traj": [[0, 0, 0], [0, 0, 1], [1, 0, 1], [1, 1, 1]], "start_rot": [0, 0, 0.25]}, {"folder": "b", "task_desc": "stay", "gt_traj": [[0, 0, 0]], "start_rot": [0, 0, 0.5]}]))
+    got = {(r.episode_id, r.frame_index): r.yaw for r in adapters.ADAPTERS["point_paths"](spark, f"file://{tmp_path}/p.json").collect()}
+    half = pytest.approx(1.5707963)
+    assert got == {("a", 0): 0.25, ("a", 1): 0, ("a", 2): half, ("a", 3): half, ("b", 0): 0.5}
+
+
+def test_annotated_images(spark, tmp_path):
+    episode = lambda name, ids, **more: {"image_path": name, "gpt_instruction": " go ", "action": [1] * len(ids), "index_list": ids, "pos": [[1, 2, 3]] * len(ids), "yaw": [0.5] * len(ids)} | more
+    (tmp_path / "annotations.json").write_text(json.dumps([episode("s/whole", ["i0", "i1"]), episode("s/gap", ["i0", "i9"]), episode("s/empty", ["i0", "i2"]), episode("s/uneven", ["i0", "i1"], yaw=[0.5]), episode("s/short", ["i0"]), episode("s/none", []), episode("s/turned", ["i0", "i1"], pos=[[1, 2, 3, 0.5], [1, 2, 3, 0.6]])]))
+    for name in ("whole", "gap", "empty", "uneven", "short", "turned"):
+        spark.createDataFrame([("i0", b"x"), ("i1", b"y"), ("i2", None)], "image_id string, image binary").write.parquet(f"file://{tmp_path}/images/s/{name}")
+    frames, rejects = adapters.annotated_image_rows(spark, f"file://{tmp_path}")
+    assert [(r.episode_id, r.frame_index, r.x, r.yaw, r.instruction) for r in frames.orderBy("frame_index").collect()] == [("s/whole", 0, 1, 0.5, "go"), ("s/whole", 1, 1, 0.5, "go")]
+    assert {r.episode_id: r.failure for r in rejects.collect()} == {"s/gap": "missing image row", "s/empty": "missing image bytes", "s/uneven": "lists of different lengths", "s/short": "less than two frames", "s/none": "less than two frames", "s/turned": "position and yaw differ"}
+
+
+def test_keyframe_tables(spark, tmp_path):
+    tables = {
+        "scene": [{"name": "one", "description": "rain", "first_sample_token": "c"}],
+        "sample": [{"token": "a", "next": ""}, {"token": "b", "next": "a"}, {"token": "c", "next": "b"}, {"token": "z", "next": ""}],
+        "sensor": [{"token": "l", "channel": "LIDAR_TOP"}, {"token": "k", "channel": "CAM_FRONT"}],
+        "calibrated_sensor": [{"token": "cl", "sensor_token": "l"}, {"token": "ck", "sensor_token": "k"}],
+        "sample_data": [{"sample_token": s, "ego_pose_token": p, "calibrated_sensor_token": c, "is_key_frame": key} for s, p, c, key in (("a", "p3", "cl", True), ("b", "p2", "cl", True), ("c", "p1", "cl", True), ("c", "p9", "ck", True), ("c", "p9", "cl", False))],
+        "ego_pose": [{"token": f"p{i}", "translation": [i, 0, 0], "rotation": [1, 0, 0, 0]} for i in (1, 2, 3, 9)],
+    }
+    for name, rows in tables.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(rows))
+    got = adapters.ADAPTERS["keyframe_tables"](spark, f"file://{tmp_path}").orderBy("frame_index").collect()
+    assert [(r.episode_id, r.frame_index, r.x) for r in got] == [("one", 0, 1), ("one", 1, 2), ("one", 2, 3)]

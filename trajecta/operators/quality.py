@@ -43,6 +43,16 @@ def report(rules: Iterable[DataFrame]) -> DataFrame:
     return functools.reduce(DataFrame.unionByName, rules)
 
 
+def first_failure(frames: DataFrame, key: str, index: str, reasons: list[tuple[str, Column]]) -> DataFrame:
+    """(key, failed_at, failure) per group: its first frame with a reason, the first that holds there; null if whole.
+
+    One partial aggregation per group; a whole group is rejected for one frame by joining on null failures.
+    """
+    reason = F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons])
+    bad = reason.isNotNull()
+    return frames.groupBy(key).agg(F.min(F.when(bad, F.col(index))).alias("failed_at"), F.min_by(F.when(bad, reason), F.when(bad, F.struct(F.col(index), reason))).alias("failure"))
+
+
 def filter_report(df: DataFrame, reasons: list[tuple[str, Column]]) -> DataFrame:
     """(reason, n): the first reason that holds for each row, or kept."""
     first = F.coalesce(*[F.when(c, F.lit(name)) for name, c in reasons], F.lit("kept"))

@@ -94,6 +94,22 @@ def unwrap(df: DataFrame, angle: str, name: str) -> DataFrame:
     return step.withColumn(name, F.sum("_d").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_d")
 
 
+def tangent_yaw(df: DataFrame, start: Column, least: float = 1e-6) -> DataFrame:
+    """Adds yaw, the direction of the step that follows, and yaw_fallback.
+
+    A step no longer than ``least`` on the plane, and the last frame, keep the last direction; before
+    the first one the ``start`` yaw holds. yaw_fallback says where that was: ``none``,
+    ``leading_start_yaw``, or ``start_yaw`` for an episode without any step.
+    """
+    w = _by("episode", "frame")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dx, dy = F.lead("x").over(w) - F.col("x"), F.lead("y").over(w) - F.col("y")
+    df = df.withColumn("_t", F.when(F.hypot(dx, dy) > least, F.atan2(dy, dx)))
+    fallback = F.when(F.max("_t").over(whole).isNull(), "start_yaw").when(F.first("_t").over(whole).isNull(), "leading_start_yaw").otherwise("none")
+    filled = F.coalesce(F.last("_t", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), start)
+    return df.withColumns({"yaw": filled, "yaw_fallback": fallback}).drop("_t")
+
+
 def streaks(df: DataFrame, flag: Column, name: str = "streak") -> DataFrame:
     """How many rows up to this one the flag has held without a break."""
     w = _by("episode", "frame")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions import hashing as H
 from trajecta.functions import strings as S
-from trajecta.operators import history, joins, quality, sampling, sets, stats, trajectory, windows
+from trajecta.operators import chains, history, joins, quality, sampling, sets, stats, trajectory, windows
 from trajecta.streaming import windows as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -587,6 +587,34 @@ def pack_shards(t: Tables) -> DataFrame:
     return trajectory.pack_shards(items, "o_orderpriority", "o_orderkey", "n", 100)
 
 
+# --- chains, tangents and whole-episode rejection -----------------------------------------------------
+
+
+@query(f"WITH {FRAMES} SELECT event_id, first_value(event_id) OVER (PARTITION BY episode ORDER BY frame) AS head, frame AS position FROM frames")
+def linked_order(t: Tables) -> DataFrame:
+    linked = t.frames.withColumn("next_id", F.lead("event_id").over(Window.partitionBy("episode").orderBy("frame")))
+    return chains.linked_order(linked, "event_id", "next_id").withColumnRenamed("token", "event_id")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS number FROM orders WHERE o_orderstatus = 'F'")
+def subset_renumber(t: Tables) -> DataFrame:
+    kept = t.orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderdate")
+    return chains.dense_numbers(kept, ["o_orderdate", "o_orderkey"]).select("o_orderkey", "number")
+
+
+@query(f"WITH {POSES}, s AS (SELECT *, lead(x) OVER w - x AS dx, lead(y) OVER w - y AS dy FROM poses WINDOW w AS (PARTITION BY episode ORDER BY frame)), a AS (SELECT *, CASE WHEN sqrt(dx*dx+dy*dy) > 0.2 THEN atan2(dy, dx) END AS t FROM s), f AS (SELECT *, last_value(t IGNORE NULLS) OVER (PARTITION BY episode ORDER BY frame ROWS UNBOUNDED PRECEDING) AS filled, first_value(t) OVER (PARTITION BY episode ORDER BY frame) AS head, max(t) OVER (PARTITION BY episode) AS most FROM a) SELECT vec_id, round(coalesce(filled, 0.5), 6) AS tangent, CASE WHEN most IS NULL THEN 'start_yaw' WHEN head IS NULL THEN 'leading_start_yaw' ELSE 'none' END AS yaw_fallback FROM f")
+def tangent_yaw(t: Tables) -> DataFrame:
+    made = windows.tangent_yaw(t.poses.drop("yaw"), F.lit(0.5), 0.2)
+    return made.select("vec_id", r6(F.col("yaw"), "tangent"), "yaw_fallback")
+
+
+@query("WITH r AS (SELECT l_orderkey, l_linenumber, CASE WHEN p_partkey IS NULL THEN 'missing' WHEN p_retailprice < 920 THEN 'unusable' END AS reason FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size <> 7) ON l_partkey = p_partkey), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, reason) AS n FROM r WHERE reason IS NOT NULL) SELECT o.l_orderkey, CAST(k.l_linenumber AS BIGINT) AS failed_at, k.reason AS failure FROM (SELECT DISTINCT l_orderkey FROM lineitem) o LEFT JOIN k ON k.l_orderkey = o.l_orderkey AND k.n = 1")
+def episode_rejects(t: Tables) -> DataFrame:
+    images = t.part.where("p_size <> 7").select("p_partkey", "p_retailprice")
+    rows = t.lineitem.select("l_orderkey", F.col("l_linenumber").cast("bigint").alias("l_linenumber"), "l_partkey").join(images, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return quality.first_failure(rows, "l_orderkey", "l_linenumber", [("missing", F.col("p_partkey").isNull()), ("unusable", F.col("p_retailprice") < 920)])
+
+
 # --- event time -----------------------------------------------------------------------------------
 
 
