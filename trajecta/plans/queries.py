@@ -422,7 +422,7 @@ def anchored_sample(t: Tables) -> DataFrame:
     return sampling.anchored_sample(t.frames.select("episode", "frame"), "episode", "frame", 7, "s2")
 
 
-@query()
+@query("WITH c AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), e AS (SELECT user_id, i AS round, CAST(CASE WHEN least(n, 4) = 1 THEN 0 ELSE round_even(i * (n - 1) / greatest(least(n, 4) - 1, 1)::DOUBLE, 0) END AS BIGINT) AS position FROM c, range(0, 4) r(i) WHERE i < least(n, 4)), a AS (SELECT c.user_id, i AS position FROM c, range(0, (SELECT max(n) FROM c)) r(i) WHERE i < n EXCEPT SELECT user_id, position FROM e), m AS (SELECT user_id, round, position FROM e UNION ALL SELECT user_id, 3 + row_number() OVER (PARTITION BY user_id ORDER BY position), position FROM a) SELECT user_id, position FROM m ORDER BY round, user_id, position LIMIT 400")
 def target_frames(t: Tables) -> DataFrame:
     return sampling.target_frames(t.events.groupBy("user_id").agg(F.count("*").alias("n")), "user_id", "n", 400)
 
