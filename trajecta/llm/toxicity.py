@@ -29,6 +29,8 @@ PER_CLASS = 8000
 FEATURES = 4096
 BITS = 18
 SIZES = (4, 5, 6)
+#: Text expanded at once; n-gram arrays take about a hundred times as much.
+SLICE_BYTES = 1 << 19
 THRESHOLD = 0.7
 _LETTER = np.where(T.ALPHANUMERIC, np.arange(256), 0x20).astype(np.uint32)
 _MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
@@ -119,7 +121,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_feat
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, 1 << BITS), np.int64)
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             y = np.array(part.batch.column("toxic").to_pylist())
             doc, f = presence(part)
             for k in (0, 1):
@@ -143,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, n_feat
     slots[best] = np.arange(len(best))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             doc, f = presence(part, slots)
             bounds = np.searchsorted(doc, np.arange(part.n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([part.batch.column("toxic"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(f.astype(np.int32)))], ["toxic", "features"])
@@ -163,7 +165,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thresh
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             s = model.value.score(part)
             yield pa.RecordBatch.from_arrays([part.batch.column(0), part.batch.column(1), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -176,7 +178,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, t
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(batches, limit=SLICE_BYTES):
             yield part.batch.filter(pa.array(model.value.score(part) < threshold))
 
     return docs.mapInArrow(run, docs.schema)
