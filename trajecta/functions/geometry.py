@@ -79,3 +79,78 @@ def unnormalise(v: Column, low: Column, high: Column) -> Column:
 
 def standardise(v: Column, mean: Column, std: Column) -> Column:
     return (v - mean) / F.greatest(std, F.lit(1e-6))
+
+
+def reflected(p: Column, mode: str) -> Column:
+    """A pose with its y and yaw, or y, z and yaw, negated; ``identity`` leaves it."""
+    if mode not in ("identity", "reflect_y_yaw", "reflect_y_z_yaw"):
+        raise ValueError(mode)
+    side = 1 if mode == "identity" else -1
+    return pose(p["x"], p["y"] * side, p["z"] * (-1 if mode == "reflect_y_z_yaw" else 1), wrap_angle(p["yaw"] * side))
+
+
+def mounted(p: Column, forward: Column, left: Column, up: Column, turn: Column) -> Column:
+    """The world pose of a camera mounted at an offset in the body frame."""
+    return from_body_delta(p, F.struct(forward.alias("dx"), left.alias("dy"), up.alias("dz"), turn.alias("dyaw")))
+
+
+def rotation_matrix(w: Column, x: Column, y: Column, z: Column) -> Column:
+    """The 3 x 3 matrix of a unit quaternion, by rows."""
+    one, two = F.lit(1.0), F.lit(2.0)
+    return F.array(
+        F.array(one - two * (y * y + z * z), two * (x * y - w * z), two * (x * z + w * y)),
+        F.array(two * (x * y + w * z), one - two * (x * x + z * z), two * (y * z - w * x)),
+        F.array(two * (x * z - w * y), two * (y * z + w * x), one - two * (x * x + y * y)),
+    )
+
+
+def quaternion_error(a: Column, b: Column) -> Column:
+    """Degrees between two quaternions (w, x, y, z) of any length; infinite if one has none."""
+    parts = ("w", "x", "y", "z")
+    dot = sum((a[k] * b[k] for k in parts), F.lit(0.0))
+    size = F.sqrt(sum((a[k] * a[k] for k in parts), F.lit(0.0)) * sum((b[k] * b[k] for k in parts), F.lit(0.0)))
+    return F.when(size > 1e-12, F.degrees(2 * F.acos(F.least(F.lit(1.0), F.abs(dot) / size)))).otherwise(F.lit(float("inf")))
+
+
+def letterbox(width: Column, height: Column, size: int) -> Column:
+    """How a picture is scaled and centred in a square: scale, whole width and height, left and top margin."""
+    scale = F.least(size / width, size / height)
+    w, h = F.bround(width * scale), F.bround(height * scale)
+    return F.struct(scale.alias("scale"), w.cast("long").alias("width"), h.cast("long").alias("height"), F.floor((size - w) / 2).alias("left"), F.floor((size - h) / 2).alias("top"))
+
+
+def visible(anchor: Column, target: Column, reach: float, half_angle: float) -> Column:
+    """Whether the target lies within reach and within half_angle of the anchor's heading."""
+    d = body_delta(anchor, target)
+    return (distance(anchor, target) <= reach) & (F.abs(F.atan2(d["dy"], d["dx"])) <= half_angle)
+
+
+def box_giou(a: Column, b: Column) -> Column:
+    """Intersection over union, less the share of the enclosing box that neither covers."""
+    area = lambda x: F.greatest(F.lit(0), x["x2"] - x["x1"]) * F.greatest(F.lit(0), x["y2"] - x["y1"])
+    inter = F.greatest(F.lit(0), F.least(a["x2"], b["x2"]) - F.greatest(a["x1"], b["x1"])) * F.greatest(F.lit(0), F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"]))
+    hull = (F.greatest(a["x2"], b["x2"]) - F.least(a["x1"], b["x1"])) * (F.greatest(a["y2"], b["y2"]) - F.least(a["y1"], b["y1"]))
+    union = area(a) + area(b) - inter
+    return F.try_divide(inter, union) - F.try_divide(hull - union, hull)
+
+
+def frame_number(seconds: Column, rate: Column | float, frames: Column | int) -> Column:
+    """The frame shown at a time, kept inside the clip."""
+    last = F.lit(frames) - 1 if isinstance(frames, int) else frames - 1
+    return F.least(F.greatest(F.bround(seconds * rate).cast("long"), F.lit(0)), last).cast("long")
+
+
+def frame_rate(text: Column) -> Column:
+    """``30000/1001`` or ``25`` as a number; null if it isn't one."""
+    part = F.split(text, "/")
+    return F.try_divide(part[0].try_cast("double"), F.coalesce(F.get(part, F.lit(1)).try_cast("double"), F.when(F.size(part) == 1, F.lit(1.0))))
+
+
+def command(delta: Column, threshold: float) -> Column:
+    """``left``, ``right`` or ``forward`` by the sideways part of a body delta."""
+    return F.when(delta["dy"] > threshold, "left").when(delta["dy"] < -threshold, "right").otherwise("forward")
+
+
+def stage(delta: Column, climb: float, turn: float) -> Column:
+    """``take off``, ``landing``, ``left``, ``right`` or ``cruise``: climbing goes before turning."""
+    return F.when(delta["dz"] > climb, "take off").when(delta["dz"] < -climb, "landing").when(delta["dyaw"] > turn, "left").when(delta["dyaw"] < -turn, "right").otherwise("cruise")

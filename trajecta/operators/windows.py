@@ -142,3 +142,24 @@ def path_progress(df: DataFrame, step: str, gamma: float = 1.0) -> DataFrame:
     total, n = F.sum(step).over(whole), F.count("*").over(whole)
     still = F.when(n > 1, F.col("frame") / (n - 1)).otherwise(0.0)
     return df.withColumn("progress", F.pow(F.when(total <= 1e-6, still).otherwise(F.sum(step).over(so_far) / total), F.lit(gamma)))
+
+
+def local_poses(poses: DataFrame, z_sign: int = 1, tiny: float = 1e-7) -> DataFrame:
+    """Each pose seen from its episode's first one (``local``), numbers next to zero as zero."""
+    own = G.pose(F.col("x"), F.col("y"), F.col("z"), F.col("yaw"))
+    d = poses.withColumn("_d", G.body_delta(F.first(own).over(_by("episode", "frame")), own, z_sign))
+    return d.withColumn("local", F.struct(*[G.clean_number(F.col("_d")[k], tiny).alias(k) for k in ("dx", "dy", "dz", "dyaw")])).drop("_d")
+
+
+def integrate(steps: DataFrame, start_yaw: Column) -> DataFrame:
+    """Positions from body-frame steps, each relative to the pose before; the episode starts at zero.
+
+    Headings are running sums, and so are the steps turned by the heading before them: two windows of
+    one sort, no fold over whole episodes.
+    """
+    by = _by("episode", "frame")
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    h = steps.withColumn("yaw", start_yaw + F.sum("dyaw").over(running)).withColumn("_h", F.lag("yaw").over(by)).withColumn("_h", F.coalesce("_h", start_yaw))
+    c, s = F.cos("_h"), F.sin("_h")
+    moves = {"x": c * F.col("dx") - s * F.col("dy"), "y": s * F.col("dx") + c * F.col("dy"), "z": F.col("dz")}
+    return h.select("*", *[F.sum(m).over(running).alias(k) for k, m in moves.items()]).drop("_h").withColumn("yaw", G.wrap_angle(F.col("yaw")))
