@@ -178,6 +178,52 @@ def test_near_duplicates(spark, texts):
     assert got == want
 
 
+def _shingles(t):
+    w = t.encode().lower().split()
+    return {b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def _similar_classes(rows):
+    sets = [_shingles(t) for _, t in rows]
+    least = list(range(len(rows)))
+
+    def find(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            y = sets[j]
+            if (not x and not y) or (4 * max(len(x), len(y)) <= 5 * min(len(x), len(y)) and 5 * len(x & y) >= 4 * len(x | y)):
+                a, b = sorted((find(i), find(j)))
+                least[b] = a
+    return {k: rows[find(i)][0] for i, (k, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("frequent", [0, 1 << 16])
+def test_similar_texts_are_all_linked(spark, texts, monkeypatch, frequent):
+    monkeypatch.setattr(simhash, "FREQUENT", frequent)
+    r = random.Random(11)
+    say = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
+    line, made = say(12), ["", " ", "a b", "A  b", "a b c"]
+    for n in (6, 9, 14, 30, 80, 300):
+        for _ in range(6):
+            base = line + say(n)
+            made.append(" ".join(base))
+            for share in (0.005, 0.02, 0.03, 0.045, 0.06):
+                made.append(" ".join(f"x{r.randrange(99)}" if r.random() < share else w for w in base))
+    rows = texts + [(10_000 + i, t) for i, t in enumerate(made)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = _similar_classes(rows)
+    assert {x.doc_id: x.component_id for x in simhash.similar_classes(docs).collect()} == want
+    assert len(set(want.values())) < len(rows) - 60
+    if frequent:
+        import corpus_pipeline
+
+        assert {x.doc_id for x in corpus_pipeline.simhash_stage(spark, docs, SF).collect()} == set(want.values())
+
+
 def test_index_finds_all_occurrences():
     r = np.random.default_rng(2)
     seq = r.integers(2, 5, 500)

@@ -11,6 +11,13 @@ pairs: its members are keyed again by variants of the other segment such that eq
 link (two wildcards beside an exact segment, one beside a one-wildcard segment), and each
 sub-bucket's members link to its smallest. No link between different fingerprints is lost and no cap
 is set. Equal fingerprints are one node from the start, so copies never meet as pairs.
+
+``keep_similar`` links texts by the Jaccard similarity of their word shingles instead. At 0.8 two
+fingerprints differ by about ten bits of 64, which no segment of useful width survives, so the links
+above are only its first generator. Its second is complete: with shingles in any one order, two sets
+of that similarity share ``SHARED`` of the first ``n - ceil(0.8 n) + SHARED`` of each (or all, in tiny
+sets). The shingles of each set are also counted in ``BINS`` bins: counts that differ by more than two
+similar sets can rule a candidate out, and every other is checked on the whole sets.
 """
 
 from __future__ import annotations
@@ -20,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -30,28 +37,46 @@ from .store import materialise
 SEED = 42
 SHINGLE = 3
 BUCKET = 32
+#: Of ``keep_similar``.
+SIMILAR_SHINGLE = 5
+SIMILARITY = (4, 5)
+SHARED = 3
+FREQUENT = 1 << 16
+BINS = 64
+_AT_ONCE = 1 << 18
 _FEED = 1 << 16
 
 
-def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
-    """Bit majority over the XXH64 (seed 42) of the lower-cased word shingles, repeats included; 0 without words."""
+def shingle_hashes(data: bytes, shingle: int) -> Iterator[np.ndarray]:
+    """XXH64 (seed 42) of the lower-cased word shingles, repeats included, some at a time; none without words."""
     words = data.lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
     start = end - size
     k = min(shingle, len(words))
     ends, starts = end[k - 1 :].tolist(), start[: len(words) - k + 1].tolist()
-    digest, ones, n = xxhash.xxh64_intdigest, np.zeros(64, np.int64), len(ends)
-    for at in range(0, n, _FEED):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _FEED], ends[at : at + _FEED], strict=True)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    for at in range(0, len(ends), _FEED):
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + _FEED], ends[at : at + _FEED], strict=True)], np.uint64)
+
+
+def _majority(hashes: Iterator[np.ndarray]) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for h in hashes:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(h)
     bits = (2 * ones > n).astype(np.uint8)
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
+def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
+    """Bit majority over the shingles' hashes; 0 without words."""
+    return _majority(shingle_hashes(data, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp long): one row per document; null and blank texts get fingerprint zero."""
 
@@ -130,7 +155,139 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     Of rows with equal doc_id one stays. A document without an id names no class and stays.
     """
-    kept = near_duplicates(docs, shingle).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    return _least_of_class(docs, near_duplicates(docs, shingle))
+
+
+def _least_of_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     one = named.join(kept, named.doc_id == kept["_id"], "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, fp, id, bins, shingles): fingerprint and sorted distinct shingles; id is the set's own hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches):
+            fp, ids, sets, bins = np.zeros(part.n, np.uint64), np.zeros(part.n, np.uint64), [], np.zeros((part.n, BINS), np.int8)
+            for i in range(part.n):
+                h = list(shingle_hashes(part.text_bytes(i), shingle))
+                fp[i] = _majority(h)
+                sets.append(np.unique(np.concatenate(h)).view(np.int64) if h else np.zeros(0, np.int64))
+                bins[i] = np.bincount(sets[-1] & (BINS - 1), minlength=BINS).clip(max=127)
+                ids[i] = xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            binned = pa.ListArray.from_arrays(pa.array(np.arange(part.n + 1, dtype=np.int32) * BINS), pa.array(bins.ravel()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(fp.view(np.int64)), pa.array(ids.view(np.int64)), binned, lists], ["doc_id", "fp", "id", "bins", "shingles"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, id long, bins array<tinyint>, shingles array<long>")
+
+
+def _first_shingles(sets: DataFrame, frequent: list[int]) -> DataFrame:
+    """(id, n, key): the shingles under which a set is found, frequent ones last.
+
+    ``frequent``, most frequent first, only sets the order: any order finds the same links.
+    """
+    known = np.array(frequent, np.int64)
+    by_hash = np.argsort(known)
+    model = sets.sparkSession.sparkContext.broadcast((known[by_hash], len(known) - by_hash))
+    least, whole = SIMILARITY
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ranks = model.value
+        for batch in batches:
+            total = np.cumsum(batch.column(1).value_lengths().to_numpy().astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, side="right")))
+                piece, at = batch.slice(at, end - at), end
+                size = piece.column(1).value_lengths().to_numpy().astype(np.int64)
+                flat = piece.column(1).flatten().to_numpy()
+                row = np.repeat(np.arange(len(size)), size)
+                rank = np.zeros(len(flat), np.int64)
+                if len(hashes):
+                    near = np.searchsorted(hashes, flat).clip(max=len(hashes) - 1)
+                    rank = np.where(hashes[near] == flat, ranks[near], 0)
+                order = np.lexsort((flat, rank, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                common = -(-least * size // whole)
+                taken = place < (size - common + np.minimum(SHARED, common))[row]
+                own = row[taken]
+                yield pa.RecordBatch.from_arrays([pa.array(piece.column(0).to_numpy()[own]), pa.array(size[own]), pa.array(flat[order][taken])], ["id", "n", "key"])
+
+    return sets.select("id", "shingles").mapInArrow(run, "id long, n long, key long")
+
+
+def _similar(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
+    """(a, b): those of the pairs whose sets are similar enough, on the whole sets."""
+    least, whole = SIMILARITY
+    bins = found.select("id", F.struct(F.size("shingles").alias("n"), "bins").alias("bins")).dropDuplicates(["id"])
+    side = lambda k, c, own: own.select(F.col("id").alias(k), F.col(own.columns[1]).alias(c))
+    both = pairs.distinct().join(side("a", "x", bins), "a").join(side("b", "y", bins), "b")
+    apart = F.aggregate(F.zip_with("x.bins", "y.bins", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda s, v: s + v)
+    may = (whole + least) * apart <= (whole - least) * (F.col("x.n") + F.col("y.n"))
+    pairs = materialise(both.where(may).select("a", "b"), name)
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+    sets = found.select("id", "shingles").join(asked, "id", "left_semi").dropDuplicates(["id"])
+    both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return materialise(both.where(whole * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), name)
+
+
+def similar_links(found: DataFrame) -> DataFrame:
+    """(a, b): links between ids that connect all sets of ``SIMILARITY`` or more; ``found`` as of ``shingle_sets``.
+
+    The first links are of near fingerprints and of each set to one other under its keys. What these
+    connect is not compared again, so a large family costs a pair a member and not its square; all
+    pairs that share enough keys across the classes so far follow.
+    """
+    least, whole = SIMILARITY
+    fps = materialise(found.select("fp", "id").distinct(), "fingerprints")
+    heads = fps.groupBy("fp").agg(F.min("id").alias("head"))
+    near = links(heads.select("fp"))
+    at = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_id"))
+    first = near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    first = first.unionByName(fps.join(heads, "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
+
+    sample = found.where(F.pmod("id", F.lit(16)) == 0).select("id", "shingles").dropDuplicates(["id"])
+    frequent = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    frequent = [r.key for r in frequent.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()]
+    same = Window.partitionBy("key")
+    shared = _first_shingles(found, frequent).withColumn("head", F.min(F.struct("id", "n")).over(same)).withColumn("top", F.max("id").over(same)).where("head.id <> top")
+    shared = materialise(shared.select("id", "n", "key", F.col("head.id").alias("head"), F.col("head.n").alias("m")).distinct(), "keys")
+    needed = F.least(F.lit(SHARED), F.ceil(least * F.least("m", "n") / whole))
+    alike = whole * F.least("m", "n") >= least * F.greatest("m", "n")
+    stars = shared.where((F.col("id") != F.col("head")) & alike).groupBy("id", "head", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed)
+    stars = stars.groupBy("id").agg(F.max_by("head", "c").alias("b")).select(F.col("id").alias("a"), "b")
+    first = _similar(first.unionByName(stars), found, "first_links")
+
+    roots = connected_components(first)
+    classed = shared.join(roots, shared.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("class"))
+    classed = classed.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
+    classed = materialise(classed.select("id", "n", "key", "class"), "keys")
+    a = classed.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("of_a"))
+    b = classed.select("key", F.col("id").alias("b"), "n", "class")
+    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
+    pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("a", "b")
+    return first.unionByName(_similar(pairs, found, "more_links"))
+
+
+def similar_classes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, component_id): every document with the smallest doc_id reachable over texts of ``SIMILARITY`` or more.
+
+    Defined cases as of ``near_duplicates``; texts without words are one class.
+    """
+    found = materialise(shingle_sets(docs, shingle), "shingles")
+    nodes = found.groupBy("id").agg(F.min("doc_id").alias("least"))
+    roots = connected_components(similar_links(found))
+    rooted = materialise(nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "nodes")
+    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = rooted.join(named, "root").select("id", "component_id")
+    return found.select("doc_id", "id").join(classes, "id").select("doc_id", "component_id")
+
+
+def keep_similar(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """As ``keep_one``, of the classes of ``similar_classes``."""
+    return _least_of_class(docs, similar_classes(docs, shingle))
