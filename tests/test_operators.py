@@ -1,4 +1,6 @@
+import hashlib
 import math
+import random
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions import strings as S
 from trajecta.operators import history, joins, sampling, stats, trajectory, windows
+from trajecta.plans import queries as Q
 
 POSES = "episode long, frame long, x double, y double, z double, yaw double"
 
@@ -122,3 +125,30 @@ def test_dense_numbers(spark):
     got = chains.dense_numbers(spark.range(0, 1000, 3).repartition(5), ["id"]).collect()
     assert {r.id: r.number for r in got} == {i: n for n, i in enumerate(range(0, 1000, 3))}
     assert chains.dense_numbers(spark.range(0), ["id"]).count() == 0
+
+
+def _plain_warping(a, b):
+    best = {(0, 0): 0.0}
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            before = min(best.get(k, float("inf")) for k in ((i - 1, j), (i, j - 1), (i - 1, j - 1)))
+            best[i, j] = math.dist(a[i - 1], b[j - 1]) + before
+    return best[len(a), len(b)]
+
+
+def test_ndtw_is_of_whole_paths(spark):
+    r = random.Random(6)
+    paths = {k: [[tuple(r.random() for _ in range(3)) for _ in range(n)] for n in sizes] for k, sizes in enumerate([(90, 75), (1, 8), (7, 1), (64, 130)])}
+    rows = [(k, kind, i, *p) for k, both in paths.items() for kind, path in zip(("predicted", "reference"), both, strict=True) for i, p in enumerate(path)]
+    got = {x.k: (x.dtw, x.ndtw) for x in stats.ndtw(spark.createDataFrame(rows, "k long, kind string, step long, x double, y double, z double"), "k", 3.0).collect()}
+    for k, (a, b) in paths.items():
+        d = _plain_warping(a, b)
+        assert got[k] == (pytest.approx(d), pytest.approx(math.exp(-d / (3.0 * len(b)))))
+
+
+def test_ndtw_query_takes_every_frame(spark, tmp_path):
+    r = random.Random(7)
+    points = [[r.random() for _ in range(4)] for _ in range(100)]
+    spark.createDataFrame([(i, 1, p) for i, p in enumerate(points)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = Q.QUERIES["ndtw"](spark, str(tmp_path)).first()
+    assert got.dtw == pytest.approx(_plain_warping([p[:3] for p in points], [p[:3] for p in points[::2]]), abs=1e-4)

@@ -46,15 +46,18 @@ def flattened(df: DataFrame, keys: list[str], metrics: list[str], prefix: str) -
 
 
 def warping_distance(a: np.ndarray, b: np.ndarray) -> float:
-    """Dynamic-time-warping distance of two paths of points."""
-    cost = np.linalg.norm(a[:, None, :] - b[None, :, :], axis=2)
-    row = np.concatenate([[0.0], np.full(len(b), np.inf)])
-    for i in range(len(a)):
-        new = np.full(len(b) + 1, np.inf)
-        for j in range(len(b)):
-            new[j + 1] = cost[i, j] + min(row[j], row[j + 1], new[j])
-        row = new
-    return float(row[-1])
+    """Dynamic-time-warping distance of two paths of points, diagonal by diagonal, so memory grows with their length only."""
+    n, m = len(a), len(b)
+    before, last = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by place in a, of the two diagonals before
+    before[0] = 0.0
+    for d in range(2, n + m + 1):
+        low, high = max(1, d - m), min(n, d - 1)
+        i = np.arange(low, high + 1)
+        step = np.linalg.norm(a[i - 1] - b[d - i - 1], axis=1)
+        new = np.full(n + 1, np.inf)
+        new[i] = step + np.minimum(np.minimum(before[i - 1], last[i - 1]), last[i])
+        before, last = last, new
+    return float(last[n])
 
 
 def ndtw(paths: DataFrame, key: str, radius: float, drop_repeats: bool = False) -> DataFrame:
