@@ -152,3 +152,15 @@ def test_ndtw_query_takes_every_frame(spark, tmp_path):
     spark.createDataFrame([(i, 1, p) for i, p in enumerate(points)], "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = Q.QUERIES["ndtw"](spark, str(tmp_path)).first()
     assert got.dtw == pytest.approx(_plain_warping([p[:3] for p in points], [p[:3] for p in points[::2]]), abs=1e-4)
+
+
+def test_history_reaches_every_earlier_frame(spark):
+    draw = lambda a, h: int(hashlib.sha256(f"history:7:{a}:{h}".encode()).hexdigest()[:13], 16) / 2**52
+    want = set()
+    for a in range(1, 150):
+        p = {h: 0.1 + 0.9 * math.exp(-(a - h) / 6.0) for h in range(a)}
+        kept = sorted((draw(a, h) / p[h], h) for h in p if draw(a, h) < p[h])
+        want |= {(a, h) for _, h in kept[:5]}
+    frames = spark.range(150).selectExpr("7L AS episode", "id AS frame")
+    assert {(x.frame, x.history_frame) for x in history.select_history(frames, 6.0, 5).collect()} == want
+    assert any(a - h > 40 for a, h in want)
