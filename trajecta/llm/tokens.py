@@ -13,19 +13,21 @@ A block holds ids less their minimum, packed at the width that ``PERCENTILE`` of
 higher bits of the others stand in the exception list. ``decode_range`` reads any range of ids
 through the block index.
 
-Encoding works word by word through a bounded cache: the tokenizer drops white space, so the ids of
-a text are those of its words in order. Plain Latin words go straight to the library's BPE model,
-all others through its whole pipeline.
+Encoding works on the pre-tokens of the vocabulary's own split, through a bounded cache: the tokenizer
+drops white space, so the ids of a text are those of its words in order. Pre-tokens of plain Latin
+text are cut here and go to the library's BPE model; words with any other character go through its
+whole pipeline. ``write_tokens`` expects a vocabulary with that split (``word_bpe_49k.json``).
 
 Defined cases: a null text is empty; an empty text gives the end id alone; rows with equal doc_id
 are ordered by their text's hash; a null doc_id sorts first; empty tables give empty output; extra
-columns are ignored.
+columns are ignored; a very long text is one document of its shard, held once in its task.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import struct
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -41,11 +43,18 @@ BLOCK = 1024
 PERCENTILE = 95
 SHARD_IDS = 1 << 18
 END_ID = 1
-CACHE_WORDS = 400_000
+CACHE_PIECES = 400_000
 _HEAD = struct.Struct("<4sIQII")
 _BLOCK_HEAD = struct.Struct("<IBH")
 
 
+#: Characters that the pre-tokenizer's rules are spelled out for here; NFC and lower-casing treat each alone.
+_PLAIN = re.compile(r"[\x20\t\n\r\x0b\x0c\x21-\x7EÀ-ÖØ-öø-ÿŒœ“”‘’–—…«»€£]*")
+#: The vocabulary file's own split of lower-cased text, over those characters.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9\x20\t\n\r\x0b\x0c]+")
+_SPACE = re.compile(r"[\x20\t\n\r\x0b\x0c]+")
+
+
 def _byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -53,43 +62,71 @@ def _byte_alphabet() -> list[str]:
     return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
 
 
-class WordEncoder(dict):
-    """Ids of words as little-endian u32 bytes, made once for each distinct word in the cache."""
+class Encoder(dict):
+    """Ids of pieces as little-endian u32 bytes, each distinct piece encoded once while it is in the cache.
+
+    A key is a pre-token of the vocabulary's split or, after a line break, a whole word with characters
+    outside ``_PLAIN``. New pre-tokens of a slice go to the library's BPE in one call; the ids of each
+    end with one that closes a word, so the result falls apart again into pieces.
+    """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
-        self._tokenizer = Tokenizer.from_str(tokenizer_json)
-        self._model = self._tokenizer.model
-        self._alphabet = _byte_alphabet()
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self._encode(word)
-        if len(self) >= CACHE_WORDS:
+        super().__init__()
+        self._whole = Tokenizer.from_str(tokenizer_json)
+        rules = json.loads(tokenizer_json)
+        suffix = rules["model"]["end_of_word_suffix"]
+        self._pieces = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
+        self._closes = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
+        self._closes[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
+        self._alphabet = {b: c for b, c in enumerate(_byte_alphabet()) if b != 0x20}
+
+    def _split(self, text: str) -> list[str]:
+        if "<|" not in text and _PLAIN.fullmatch(text):
+            return _PIECE.findall(text.lower())
+        out: list[str] = []
+        for word in _SPACE.split(text):
+            if "<|" in word or not _PLAIN.fullmatch(word):
+                out.append("\n" + word)
+            else:
+                out += _PIECE.findall(word.lower())
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        plain, odd = [x for x in new if x[0] != "\n"], [x for x in new if x[0] == "\n"]
+        spelled = " ".join(plain).encode().decode("latin-1").translate(self._alphabet)
+        ids = np.array(self._pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        end = 4 * (np.flatnonzero(self._closes[ids]) + 1)
+        if len(end) != len(plain):
+            raise RuntimeError("the vocabulary doesn't close each piece with one id")
+        data, start = ids.tobytes(), 0
+        for piece, e in zip(plain, end.tolist(), strict=True):
+            self[piece] = data[start:e]
+            start = e
+        for piece, x in zip(odd, self._whole.encode_batch_fast([x[1:] for x in odd], add_special_tokens=False), strict=True):
+            self[piece] = np.array(x.ids, "<u4").tobytes()
+
+    def encode(self, texts: list[bytes], end_id: int | None = END_ID) -> list[np.ndarray]:
+        """The ids of each text, and the end id."""
+        split = [self._split(x.decode("utf-8", "replace")) for x in texts]
+        wanted = set().union(*split)
+        if len(self) + len(wanted) > CACHE_PIECES:
             self.clear()
-        self[word] = ids
-        return ids
-
-    def _encode(self, word: bytes) -> bytes:
-        w = word.decode("utf-8", "replace")
-        if len(w) > 1 and w[-1] in ".," and w[-2].lower().isalpha() and w[-2] < "ɐ":
-            return self[word[:-1]] + self[word[-1:]]
-        low = w.lower()
-        if w.isalpha() and low.isalpha() and max(w) < "ɐ" and (w.isascii() or unicodedata.is_normalized("NFC", w)):
-            spelled = low if low.isascii() else "".join(map(self._alphabet.__getitem__, low.encode()))
-            ids = [t.id for t in self._model.tokenize(spelled)]
-        else:
-            ids = self._tokenizer.encode(w, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def encode(self, text: bytes, end_id: int | None = END_ID) -> np.ndarray:
-        ids = b"".join(map(self.__getitem__, text.split()))
-        return np.frombuffer(ids if end_id is None else ids + struct.pack("<I", end_id), "<u4")
+        new = [x for x in wanted if x not in self]
+        if new:
+            self._learn(new)
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        return [np.frombuffer(b"".join(map(self.__getitem__, pieces)) + end, "<u4") for pieces in split]
 
 
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values packed at ``width`` bits each."""
-    bits = ((values[:, :, None] >> np.arange(width, dtype=np.uint32)) & 1).astype(np.uint8)
+    used = -(-width // 8)
+    raw = np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(*values.shape, 4)[:, :, :used])
+    if width % 8 == 0:
+        return raw.reshape(len(values), -1)
+    bits = np.unpackbits(raw, axis=2, bitorder="little")[:, :, :width]
     return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
 
 
@@ -183,7 +220,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         model = spark.sparkContext.broadcast(f.read())  # one vocabulary: its size doesn't depend on the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = WordEncoder(model.value), TaskContext.get().partitionId()
+        encoder, part = Encoder(model.value), TaskContext.get().partitionId()
         names, lengths, pieces, held, before, shard = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
@@ -191,8 +228,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "first", "n_ids", "payload"])
 
         for s in T.slices(batches):
-            for i, name in enumerate(s.batch.column(0).to_pylist()):
-                ids = encoder.encode(s.text_bytes(i), end_id)
+            encoded = encoder.encode([s.text_bytes(i) for i in range(s.n)], end_id)
+            for name, ids in zip(s.batch.column(0).to_pylist(), encoded, strict=True):
                 names.append(name)
                 lengths.append(len(ids))
                 pieces.append(ids)
