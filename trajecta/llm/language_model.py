@@ -1,47 +1,66 @@
 """Language-model scoring with a hashed maximum-entropy model.
 
-p(word | history) = p(class | history) * p(word | class). The class factor is a softmax over
-``CLASSES`` classes whose inputs are hashed features of the history: the last word, the last two,
-and two that skip a word. The most frequent words are classes of their own, all others fall into
-classes by hash; inside a class, words follow their training counts with half a count for each and
-for one unseen word, so probabilities add up to one.
+p(word | history) = p(class | history) * p(word | class, history). Both factors are softmaxes over
+hashed features of the history: the last word, the last two, and two that skip a word. The ``SINGLE``
+most frequent words are classes of their own, the next ``HEAD * MEMBERS`` fill classes of ``MEMBERS``
+words by rank; all others fall into ``CLASSES - SINGLE - HEAD`` classes of ``MEMBERS`` buckets by hash.
+The words of a bucket have one feature, their training count (with half a count for each and for one
+unseen word), so probabilities add up to one.
+
+Training is two distributed gradient updates over all training documents, each used once. A gradient
+is observed less expected counts of every (feature, output); each task sums them over its documents
+and the sums meet in a tree. An update moves a weight by ``RATE * log((observed + d) / (expected +
+d))``, the gradient's direction at the scale of its counts. The first update takes the documents
+outside the ``1 / SECOND`` that a hash of doc_id sets apart, with the expectation of the priors; the
+second takes those, with the expectation of the model so far, which has not seen them. The sums don't
+depend on how the input is split (the second's only up to rounding). The feature tables have a row
+for each ``TOKENS_A_ROW`` training tokens, between ``ROWS[0]`` and ``ROWS[1]``.
 
 Counts cover all training tokens. Documents are grouped into chunks of about ``CHUNK_BYTES``; each
-chunk asks once for each distinct word and gets its count back from a join on the word, so the
-vocabulary is never sent whole to anyone. The weights are trained by gradient steps in one
-task for each ``TRAINER_BYTES`` of text (``TRAINERS`` at most), over all training documents, and
-averaged row by row in a two-step tree; their size is fixed by ``ROWS`` and ``CLASSES``.
+chunk asks once for each distinct word outside the head and gets its count from a join on the word,
+so the vocabulary is never sent whole to anyone; the head, of a fixed size, is broadcast.
 
 Words are keyed by 64-bit hashes. Defined cases: a null text is empty and scores its end alone; a
 null doc_id counts as training; with no training tokens every base probability is 1; repeated rows
-count and are scored each; empty tables give empty results; extra columns are ignored.
+count and are scored each (equal rows of one doc_id share a chunk); equal counts rank by the word's
+hash; a very long text is one document of its chunk; empty tables give empty results; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from .store import materialise
 
 CLASSES = 64
-HEAD = 32
-ROWS = 1 << 15
-CHUNK_BYTES = 16 << 20
-TRAINERS = 8192
-TRAINER_BYTES = 64 << 20
-STEP = 1 << 14
-RATE = 0.5
+MEMBERS = 64
+SINGLE = 16
+HEAD = 16
+ROWS = (1 << 12, 1 << 16)
+TOKENS_A_ROW = 128
+CHUNK_BYTES = 4 << 20
+TASK_BYTES = 32 << 20
+TASKS = 8192
+SECOND = 8
+RATE = 0.6
+SMOOTHING = (2.0, 8.0)  # of the first and the second update
+LIMIT = 10.0  # of a weight
+STEP = 1 << 12
 _BLOCK = 1024
 END = np.uint64(0x51ED270B2F6A1D3C)
 _BEFORE = np.uint64(0x2545F4914F6CDD1D)
 _SALT = tuple(np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
+_TAIL = SINGLE + HEAD
+assert CLASSES - _TAIL == 32 and MEMBERS == 64  # the shifts and masks of tail words
 
 
 def tokens(part: T.Slice) -> tuple[np.ndarray, np.ndarray]:
@@ -53,8 +72,8 @@ def tokens(part: T.Slice) -> tuple[np.ndarray, np.ndarray]:
     return h, w.offsets + np.arange(part.n + 1)
 
 
-def features(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows of the weight table for each token: last word, last two, and two with a skip."""
+def features(h: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Four hashed features of each token's history: last word, last two, and two with a skip."""
     place = np.arange(len(h)) - np.repeat(offsets[:-1], np.diff(offsets))
     back = []
     for k in (1, 2, 3):
@@ -63,88 +82,174 @@ def features(h: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         p[place < k] = _BEFORE
         back.append(p)
     one, two, three = back
-    keys = (T.mix(one ^ _SALT[0]), T.mix(T.mix(one ^ _SALT[1]) + two), T.mix(two ^ _SALT[2]), T.mix(T.mix(one ^ _SALT[3]) + three))
-    return np.stack([(k >> np.uint64(64 - ROWS.bit_length() + 1)).astype(np.uint16) for k in keys])  # 16 bits sort by radix
+    return [T.mix(one ^ _SALT[0]), T.mix(T.mix(one ^ _SALT[1]) + two), T.mix(two ^ _SALT[2]), T.mix(T.mix(one ^ _SALT[3]) + three)]
 
 
 @dataclass
 class Classes:
-    """Which class a word is in, and the training tokens and distinct words of each class."""
+    """The output tree: the head's words, and the training tokens and distinct words of each leaf."""
 
-    head: np.ndarray  # sorted hashes
-    n: np.ndarray
-    v: np.ndarray
+    words: np.ndarray  # the head's hashes, sorted
+    leaf: np.ndarray  # of each head word
+    count: np.ndarray  # of each head word
+    n: np.ndarray  # [CLASSES, MEMBERS] tokens
+    v: np.ndarray  # [CLASSES, MEMBERS] distinct words; buckets only
+    rows: int
+
+    @staticmethod
+    def place(rank: np.ndarray) -> np.ndarray:
+        """The leaf of the head word of each rank."""
+        return np.where(rank < SINGLE, rank * MEMBERS, SINGLE * MEMBERS + rank - SINGLE)
 
     def of(self, h: np.ndarray) -> np.ndarray:
-        out = (HEAD + (h % np.uint64(CLASSES - HEAD)).astype(np.int64)).astype(np.int64)
-        at = np.searchsorted(self.head, h).clip(max=len(self.head) - 1)
-        own = self.head[at] == h
-        out[own] = at[own]
+        """The leaf of each word."""
+        out = ((_TAIL + ((h >> np.uint64(8)) & np.uint64(31))) * np.uint64(MEMBERS) + ((h >> np.uint64(20)) & np.uint64(63))).astype(np.int32)
+        if len(self.words):
+            at = np.searchsorted(self.words, h).clip(max=len(self.words) - 1)
+            own = self.words[at] == h
+            out[own] = self.leaf[at[own]]
         return out
 
-    def prior(self) -> np.ndarray:
-        return np.log((self.n + 0.5) / (self.n + 0.5).sum()).astype(np.float32)
-
-
-def _class_scores(f: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Log-probabilities of the classes for each token."""
-    z = np.take(weights, f[0], axis=0)
-    for row in f[1:]:
-        z += np.take(weights, row, axis=0)
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
+    def priors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Log-priors of the classes, and of the members inside each (as good as none for members without words)."""
+        there = np.zeros((CLASSES, MEMBERS))
+        there.ravel()[self.leaf] = 1
+        there[_TAIL:] = 1
+        n = self.n + 0.5 * there
+        inner = np.log(np.maximum(n, 1e-12)) - np.log(np.maximum(n.sum(axis=1, keepdims=True), 1e-9))
+        total = n.sum(axis=1) + 1e-9
+        return np.log(total / total.sum()).astype(np.float32), inner.astype(np.float32)
+
+    def bucket_log10(self) -> np.ndarray:
+        """Log10 of each leaf's count with half counts; zero where a leaf is one word."""
+        out = np.log10(self.n + 0.5 * (self.v + 1))
+        out[:_TAIL] = 0
+        return out.ravel()
+
+    def rows_of(self, keys: list[np.ndarray], leaf: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Rows of the class table and of the member table (whose low bits are the class) for each feature."""
+        bits = self.rows.bit_length() - 1
+        own = leaf // MEMBERS
+        first = [(k >> np.uint64(64 - bits)).astype(np.int32) for k in keys]
+        return first, [(x & np.int32(self.rows - CLASSES)) | own for x in ((k >> np.uint64(20)).astype(np.int32) for k in keys)]
+
+
+class Scorer:
+    """Sums of weights for a few thousand tokens at a time, in buffers that stay in the cache."""
+
+    def __init__(self, known: Classes, weights: tuple[np.ndarray, np.ndarray]):
+        self.prior, self.inner = known.priors()
+        self.weights = weights
+        self.z, self.y, self._one = (np.empty((STEP, CLASSES), np.float32) for _ in range(3))
+
+    def run(self, first: list[np.ndarray], second: list[np.ndarray], leaf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the classes and of the members of each token's class."""
+        n, own = len(leaf), leaf // MEMBERS
+        z, y, one = self.z[:n], self.y[:n], self._one[:n]
+        for out, table, rows in ((z, self.weights[0], first), (y, self.weights[1], second)):
+            np.take(table, rows[0], axis=0, out=out, mode="clip")
+            for r in rows[1:]:
+                out += np.take(table, r, axis=0, out=one, mode="clip")
+        z += self.prior
+        y += np.take(self.inner, own, axis=0, out=one, mode="clip")
+        return z, y
+
+    def log_probabilities(self, first: list[np.ndarray], second: list[np.ndarray], leaf: np.ndarray) -> np.ndarray:
+        """Of each token's leaf."""
+        out = np.empty(len(leaf))
+        for at in range(0, len(leaf), STEP):
+            s = slice(at, at + STEP)
+            k = leaf[s]
+            z, y = self.run([r[s] for r in first], [r[s] for r in second], k)
+            i = np.arange(len(k))
+            got = z[i, k // MEMBERS] + y[i, k % MEMBERS]
+            out[s] = got - np.log(np.exp(z, out=z).sum(axis=1)) - np.log(np.exp(y, out=y).sum(axis=1))
+        return out
 
 
-def _gradient_step(weights: np.ndarray, used: np.ndarray, f: np.ndarray, classes: np.ndarray, bias: np.ndarray, rate: float) -> None:
-    """One step: each touched row moves by the mean gradient of its tokens, more gently while it has few."""
-    g = np.exp(_class_scores(f, weights, bias))
-    g[np.arange(len(classes)), classes] -= 1
-    for row in f:
-        order = np.argsort(row, kind="stable")
-        ordered = row[order]
-        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-        total = np.add.reduceat(g[order], first, axis=0)
-        count = np.diff(np.append(first, len(ordered))).astype(np.float32)
-        rows = ordered[first]
-        weights[rows] -= rate * total / (count + 8)[:, None]
-        used[rows] += count
+def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    order = np.argsort(rows, kind="stable")
+    ordered = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    total[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def _train(docs: DataFrame, classes: Classes, weights: np.ndarray, rate: float, tasks: int) -> np.ndarray:
-    """One round over all training documents: each task's own steps, then averages weighted by use."""
-    start = docs.sparkSession.sparkContext.broadcast((weights, classes))
+def _sums(docs: DataFrame, tables: int, rows: int, size: int, own: Callable[[T.Slice, list[np.ndarray]], None]) -> list[np.ndarray]:
+    """``tables`` tables of [rows, CLASSES] summed over all documents: each task adds up its own, a tree adds the tasks'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, known = start.value
-        w, used, bias = base.copy(), np.zeros(ROWS, np.float32), known.prior()
+        total = [np.zeros((rows, CLASSES), np.float32) for _ in range(tables)]
         for part in T.slices(batches):
-            h, offsets = tokens(part)
-            f, c = features(h, offsets), known.of(h)
-            for at in range(0, len(h), STEP):
-                _gradient_step(w, used, f[:, at : at + STEP], c[at : at + STEP], bias, rate)
-        moved = (w - base) * used[:, None]
-        for b in range(0, ROWS, _BLOCK):
-            if used[b : b + _BLOCK].any():
-                data = np.concatenate([moved[b : b + _BLOCK], used[b : b + _BLOCK, None]], axis=1).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([b // _BLOCK], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+            own(part, total)
+        for k, x in enumerate(total):
+            for b in range(0, rows, _BLOCK):
+                if x[b : b + _BLOCK].any():
+                    data = zlib.compress(x[b : b + _BLOCK].astype("<f8").tobytes(), 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([k * (rows // _BLOCK) + b // _BLOCK], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK * (CLASSES + 1), np.float32)
+        total = np.zeros(_BLOCK * CLASSES)
         for x in table.column("data"):
-            total += np.frombuffer(x.as_buffer(), "<f4")
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([total.tobytes()], pa.binary())})
-
-    moves = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, data binary")
-    partial = moves.withColumn("branch", F.spark_partition_id() % 64).groupBy("block", "branch").applyInArrow(add, "block int, data binary")
-    out = weights.copy()
+            total += np.frombuffer(zlib.decompress(x.as_buffer()), "<f8")
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+    tasks = max(1, min(TASKS, -(-size // TASK_BYTES)))
+    branches = int(np.ceil(np.sqrt(tasks)))
+    found = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, data binary")
+    partial = found.withColumn("branch", F.spark_partition_id() % branches).groupBy("block", "branch").applyInArrow(add, "block int, data binary")
+    out = [np.zeros((rows, CLASSES)) for _ in range(tables)]
     for r in partial.groupBy("block").applyInArrow(add, "block int, data binary").collect():  # a fixed number of rows
-        x = np.frombuffer(r.data, "<f4").reshape(_BLOCK, CLASSES + 1)
-        out[r.block * _BLOCK : (r.block + 1) * _BLOCK] += x[:, :CLASSES] / np.maximum(x[:, CLASSES:], 1)
+        k, b = divmod(r.block, rows // _BLOCK)
+        out[k][b * _BLOCK : (b + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r.data), "<f8").reshape(_BLOCK, CLASSES)
     return out
 
 
+def _moved(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, smoothing: float) -> np.ndarray:
+    return np.clip(weights + RATE * np.log((observed + smoothing) / (expected + smoothing)), -LIMIT, LIMIT).astype(np.float32)
+
+
+def _observed(known: Classes, leaf: np.ndarray, first: list[np.ndarray], second: list[np.ndarray], total: list[np.ndarray]) -> None:
+    for table, rows, output in ((total[0], first, leaf // MEMBERS), (total[1], second, leaf % MEMBERS)):
+        table += np.bincount(np.concatenate([r * CLASSES + output for r in rows]), minlength=table.size).reshape(table.shape)
+
+
+def train(docs: DataFrame, known: Classes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The class and member weights after both updates. ``docs`` (text, apart): the training documents."""
+    prior, inner = known.priors()
+    spark, rows = docs.sparkSession, known.rows
+    model = spark.sparkContext.broadcast(known)
+
+    def count(part: T.Slice, total: list[np.ndarray]) -> None:
+        h, offsets = tokens(part)
+        leaf = model.value.of(h)
+        _observed(model.value, leaf, *model.value.rows_of(features(h, offsets), leaf), total)
+
+    o1, o2 = _sums(docs.where(~F.col("apart")), 2, rows, size, count)
+    e1 = o1.sum(axis=1, keepdims=True) * np.exp(prior)
+    e2 = o2.sum(axis=1, keepdims=True) * np.exp(inner)[np.arange(rows) % CLASSES]
+    weights = tuple(_moved(np.zeros(1), o, e, SMOOTHING[0]) for o, e in ((o1, e1), (o2, e2)))
+    sent = spark.sparkContext.broadcast((known, weights))
+
+    def expect(part: T.Slice, total: list[np.ndarray]) -> None:
+        own, w = sent.value
+        scorer = Scorer(own, w)
+        h, offsets = tokens(part)
+        leaf = own.of(h)
+        first, second = own.rows_of(features(h, offsets), leaf)
+        _observed(own, leaf, first, second, total[:2])
+        for at in range(0, len(h), STEP):
+            s = slice(at, at + STEP)
+            a, b = [r[s] for r in first], [r[s] for r in second]
+            for table, rows_, values in zip(total[2:], (a, b), scorer.run(a, b, leaf[s]), strict=True):
+                p = np.exp(values, out=values)
+                p /= p.sum(axis=1, keepdims=True)
+                for r in rows_:
+                    _add_rows(table, r, p)
+
+    o1, o2, e1, e2 = _sums(docs.where("apart"), 4, rows, size // SECOND, expect)
+    return tuple(_moved(w, o, e, SMOOTHING[1]) for w, o, e in zip(weights, (o1, o2), (e1, e2), strict=True))
+
+
 def _signed(h: np.ndarray) -> pa.Array:
     return pa.array(h.view(np.int64))
 
@@ -169,61 +274,65 @@ def _vocabulary(chunked: DataFrame) -> DataFrame:
     return chunked.groupBy("chunk").applyInArrow(run, "chunk int, word long, n long")
 
 
-def score(docs: DataFrame, rounds: int = 1, rate: float = RATE, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def output_tree(counts: DataFrame, n_tokens: int) -> Classes:
+    """The head and the leaves' counts from (word, c); what comes to the driver has a fixed size."""
+    top = counts.where("c > 0").orderBy(F.desc("c"), "word").limit(SINGLE + HEAD * MEMBERS).collect()
+    words, count = np.array([r.word for r in top], np.int64).view(np.uint64), np.array([r.c for r in top], np.int64)
+    leaf = Classes.place(np.arange(len(top))).astype(np.int32)
+    n, v = np.zeros(CLASSES * MEMBERS), np.zeros(CLASSES * MEMBERS)
+    n[leaf] = count
+    bucket = (F.shiftrightunsigned("word", 8).bitwiseAND(31) * MEMBERS + F.shiftrightunsigned("word", 20).bitwiseAND(63) + _TAIL * MEMBERS).cast("int")
+    for r in _outside(counts, words).where("c > 0").groupBy(bucket.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect():
+        n[r.k], v[r.k] = r.n, r.v
+    order = np.argsort(words)
+    rows = max(ROWS[0], min(ROWS[1], 1 << max(0, int(n_tokens // TOKENS_A_ROW)).bit_length()))
+    return Classes(words[order], leaf[order], count[order], n.reshape(CLASSES, MEMBERS), v.reshape(CLASSES, MEMBERS), rows)
+
+
+def _outside(words: DataFrame, head: np.ndarray) -> DataFrame:
+    return words.where(~F.col("word").isin([int(x) for x in head.view(np.int64)])) if len(head) else words
+
+
+def _hash_of(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string"))
+
+
+def score(docs: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Per document its tokens, the base score and the model's score (log10), learnt from all rows that aren't held out."""
-    spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    own = own.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False)))
+    no = F.lit(False)
+    own = own.withColumn("held_out", F.coalesce(_hash_of(F.col("doc_id")) % 5 == 1, no)).withColumn("apart", F.coalesce(F.shiftright(_hash_of(F.col("doc_id")), 8) % SECOND == 0, no))
     size = own.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0)).alias("n")).first().n
     n_chunks = max(1, -(-size // chunk_bytes))
-    chunked = own.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
+    chunked = own.drop("apart").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("int"))
 
     asked = materialise(_vocabulary(chunked), "vocabulary")
     counts = materialise(asked.groupBy("word").agg(F.sum("n").alias("c")), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
-    end = int(END.astype(np.int64)) if END < np.uint64(1 << 63) else int(END) - (1 << 64)
-    top = counts.where((F.col("word") != end) & (F.col("c") > 0)).orderBy(F.desc("c"), "word").limit(HEAD - 1).collect()
-    head = np.sort(np.array([end, *(r.word for r in top)], np.int64).view(np.uint64))
-    classes = Classes(head, np.zeros(CLASSES), np.zeros(CLASSES))
-    slot = F.pmod(F.shiftrightunsigned("word", 1) % (CLASSES - HEAD) * 2 + F.col("word").bitwiseAND(1), F.lit(CLASSES - HEAD))  # unsigned remainder
-    for r in counts.where(~F.col("word").isin([int(x) for x in head.view(np.int64)])).groupBy(slot.alias("k")).agg(F.sum("c").alias("n"), F.count_if(F.col("c") > 0).alias("v")).collect():
-        classes.n[HEAD + r.k], classes.v[HEAD + r.k] = r.n, r.v
-    for r in counts.where(F.col("word").isin([int(x) for x in head.view(np.int64)])).collect():
-        at = int(np.searchsorted(head, np.array([r.word], np.int64).view(np.uint64)[0]))
-        classes.n[at], classes.v[at] = r.c, int(r.c > 0)
-
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    for _ in range(rounds):
-        weights = _train(own.where(~F.col("held_out")), classes, weights, rate, max(1, min(TRAINERS, size // TRAINER_BYTES)))
-    model = spark.sparkContext.broadcast((weights, classes))
-    found = asked.select("chunk", "word").join(counts, "word")
-    base_log = np.log10(total.n + 0.5 * (total.v + 1))
-    n_train = total.n
+    known = output_tree(counts, total.n)
+    model = docs.sparkSession.sparkContext.broadcast((known, train(own.where(~F.col("held_out")), known, size)))
+    found = _outside(asked.select("chunk", "word"), known.words).join(counts, "word")
+    base_log, n_train = np.log10(total.n + 0.5 * (total.v + 1)), total.n
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        w, known = model.value
-        bias, inner = known.prior(), np.log10(known.n + 0.5 * (known.v + 1))
-        words = right.column("word").to_numpy().view(np.uint64)
+        known, weights = model.value
+        scorer, inner = Scorer(known, weights), known.bucket_log10()
+        words = np.concatenate([right.column("word").to_numpy().view(np.uint64), known.words])
         order = np.argsort(words)
-        words, c = words[order], right.column("c").to_numpy()[order]
+        words, c = words[order], np.concatenate([right.column("c").to_numpy(), known.count])[order]
+        leaf_of, half_of = known.of(words), np.log10(c + 0.5)
+        in_bucket = np.where(leaf_of >= _TAIL * MEMBERS, half_of - inner[leaf_of], 0.0)
         out = []
         for part in T.slices(left.to_batches()):
             h, offsets = tokens(part)
             at = np.searchsorted(words, h)
             if not (words[at.clip(max=len(words) - 1)] == h).all():
                 raise RuntimeError("a chunk's words and counts do not match")
-            n = c[at]
-            f, k = features(h, offsets), known.of(h)
-            p = np.empty(len(h))
-            for i in range(0, len(h), STEP):
-                z = _class_scores(f[:, i : i + STEP], w, bias)
-                p[i : i + STEP] = z[np.arange(len(z)), k[i : i + STEP]] / np.log(10)
-            tail = k >= HEAD
-            half = np.log10(n + 0.5)
-            p[tail] += half[tail] - inner[k[tail]]
+            leaf = leaf_of[at]
+            p = scorer.log_probabilities(*known.rows_of(features(h, offsets), leaf), leaf) / np.log(10) + in_bucket[at]
             size = np.diff(offsets)
-            arrays = [part.batch.column("doc_id"), part.batch.column("held_out"), pa.array(size), pa.array(T.per_doc_sum(n > 0, offsets)), pa.array(np.full(part.n, n_train, np.int64))]
-            out.append(pa.RecordBatch.from_arrays([*arrays, pa.array(T.per_doc_sum(half, offsets) - size * base_log), pa.array(T.per_doc_sum(p, offsets))], names))
+            arrays = [part.batch.column("doc_id"), part.batch.column("held_out"), pa.array(size), pa.array(T.per_doc_sum(c[at] > 0, offsets)), pa.array(np.full(part.n, n_train, np.int64))]
+            out.append(pa.RecordBatch.from_arrays([*arrays, pa.array(T.per_doc_sum(half_of[at], offsets) - size * base_log), pa.array(T.per_doc_sum(p, offsets))], names))
         return pa.Table.from_batches(out, schema)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
