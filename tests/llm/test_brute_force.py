@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -15,6 +16,7 @@ from hypothesis import strategies as st
 
 from tests.helpers import SF, duck, duck_rows, spark_rows
 from trajecta.llm import decontaminate, html_extract, language_model, mixing, pii, queries, simhash, tokens
+from trajecta.llm import text as T
 from trajecta.llm.queries import tokenizer_file
 
 
@@ -283,3 +285,76 @@ def test_pipeline(spark):
     rows = sorted(out.collect(), key=lambda x: x.start)
     assert rows and [x.start for x in rows] == [sum(y.n_tokens for y in rows[:i]) for i in range(len(rows))]
     assert len({x.doc_id for x in rows}) <= 200
+
+
+def _plain_mix(h):
+    top = (1 << 64) - 1
+    for factor in (0xD6E8FEB86659FD93, 0xD6E8FEB86659FD93, None):
+        h ^= h >> 32
+        h = h * factor & top if factor else h
+    return h
+
+
+def test_language_model_score(spark, texts):
+    """The model's probabilities from a plain reimplementation, token by token, on dictionaries."""
+    lm, top, size = language_model, (1 << 64) - 1, {}
+    texts = {k: " ".join((t or "").split()[:30]) for k, t in texts[:50]}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(docs).collect()}
+    hashed = {}
+    for k, t in texts.items():
+        part = T.Slice(pa.record_batch({"text": pa.array([t])}))
+        hashed[k] = [int(x) for x in lm.tokens(part)[0]]
+    crc = {k: zlib.crc32(str(k).encode()) for k in texts}
+    train = [k for k in texts if crc[k] % 5 != 1]
+    counts = Counter(w for k in train for w in hashed[k])
+    signed = lambda w: w - (1 << 64) if w >> 63 else w
+    head = sorted(counts, key=lambda w: (-counts[w], signed(w)))[: lm.SINGLE + lm.HEAD * lm.MEMBERS]
+    leaf_of = {w: (i, 0) if i < lm.SINGLE else (lm.SINGLE + (i - lm.SINGLE) // lm.MEMBERS, (i - lm.SINGLE) % lm.MEMBERS) for i, w in enumerate(head)}
+    leaf = lambda w: leaf_of.get(w) or (lm.SINGLE + lm.HEAD + (w >> 8) % 32, (w >> 20) % 64)
+    for w, c in counts.items():
+        size[leaf(w)] = [size.get(leaf(w), (0, 0))[0] + c, size.get(leaf(w), (0, 0))[1] + 1]
+    members = {c: [m for m in range(64) if c >= 32 or (c, m) in leaf_of.values()] for c in range(64)}
+    mass = {(c, m): size.get((c, m), (0, 0))[0] + 0.5 for c in members for m in members[c]}
+    of_class = {c: sum(mass[c, m] for m in members[c]) for c in members}
+    prior = {c: np.log((of_class[c] + 1e-9) / sum(x + 1e-9 for x in of_class.values())) for c in members}
+    inner = {(c, m): np.log(mass[c, m] / of_class[c]) for c, m in mass}
+    bits = language_model.ROWS[0].bit_length() - 1
+    weights = [Counter(), Counter()]
+
+    def rows(ws, i):
+        one, two, three = (ws[i - k] if i >= k else int(lm._BEFORE) for k in (1, 2, 3))
+        s = [int(x) for x in lm._SALT]
+        keys = [_plain_mix(one ^ s[0]), _plain_mix((_plain_mix(one ^ s[1]) + two) & top), _plain_mix(two ^ s[2]), _plain_mix((_plain_mix(one ^ s[3]) + three) & top)]
+        own = leaf(ws[i])[0]
+        return [k >> (64 - bits) for k in keys], [((k >> 20) & ((1 << bits) - 64)) | own for k in keys]
+
+    def softmaxes(ws, i):
+        (a, b), own = rows(ws, i), leaf(ws[i])[0]
+        z = {c: prior[c] + sum(weights[0][r, c] for r in a) for c in members}
+        y = {m: inner[own, m] + sum(weights[1][r, m] for r in b) for m in members[own]}
+        return a, b, *({k: np.exp(v) / sum(np.exp(x) for x in s.values()) for k, v in s.items()} for s in (z, y))
+
+    for apart, smoothing in ((False, lm.SMOOTHING[0]), (True, lm.SMOOTHING[1])):
+        seen, expected = [Counter(), Counter()], [Counter(), Counter()]
+        for k in (k for k in train if ((crc[k] >> 8) % lm.SECOND == 0) == apart):
+            for i, w in enumerate(hashed[k]):
+                a, b, *p = softmaxes(hashed[k], i)
+                for t, rs in enumerate((a, b)):
+                    for r in rs:
+                        seen[t][r, leaf(w)[t]] += 1
+                        for o, v in p[t].items():
+                            expected[t][r, o] += v
+        for t in (0, 1):
+            for key in expected[t].keys() | seen[t].keys():
+                weights[t][key] += lm.RATE * np.log((seen[t][key] + smoothing) / (expected[t][key] + smoothing))
+    for k, ws in hashed.items():
+        total = 0.0
+        for i, w in enumerate(ws):
+            (c, m), (_, _, p, q) = leaf(w), softmaxes(ws, i)
+            total += np.log10(p[c] * q[m])
+            if c >= 32:
+                total += np.log10((counts[w] + 0.5) / (size.get((c, m), (0, 0))[0] + 0.5 * (size.get((c, m), (0, 0))[1] + 1)))
+        assert got[k].score == pytest.approx(total, rel=1e-4, abs=1e-4)
+    again = {r.doc_id: r.score for r in language_model.score(docs.repartition(5)).collect()}
+    assert all(again[k] == pytest.approx(r.score, rel=1e-5) for k, r in got.items())

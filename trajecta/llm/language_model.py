@@ -50,7 +50,7 @@ TOKENS_A_ROW = 128
 CHUNK_BYTES = 4 << 20
 TASK_BYTES = 32 << 20
 TASKS = 8192
-SECOND = 8
+SECOND = 16
 RATE = 0.6
 SMOOTHING = (2.0, 8.0)  # of the first and the second update
 LIMIT = 10.0  # of a weight
@@ -174,40 +174,50 @@ def _add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     total[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
 
 
-def _sums(docs: DataFrame, tables: int, rows: int, size: int, own: Callable[[T.Slice, list[np.ndarray]], None]) -> list[np.ndarray]:
-    """``tables`` tables of [rows, CLASSES] summed over all documents: each task adds up its own, a tree adds the tasks'."""
+def _updated(docs: DataFrame, known: Classes, weights: tuple[np.ndarray, np.ndarray], size: int, own: Callable[[T.Slice, list[np.ndarray]], None], expects: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The weights after one update. ``own`` adds a slice's observed (and expected) counts to a task's tables.
+
+    The tasks' tables meet block by block in a tree, and the tree's last step moves the block's weights,
+    so only weights come to the driver.
+    """
+    rows, smoothing = known.rows, SMOOTHING[int(expects)]
+    old = docs.sparkSession.sparkContext.broadcast(weights)
+    priors = known.priors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((rows, CLASSES), np.float32) for _ in range(tables)]
+        total = [np.zeros((rows, CLASSES), np.float32) for _ in range(4 if expects else 2)]
         for part in T.slices(batches):
             own(part, total)
-        for k, x in enumerate(total):
+        for k in (0, 1):
             for b in range(0, rows, _BLOCK):
-                if x[b : b + _BLOCK].any():
-                    data = zlib.compress(x[b : b + _BLOCK].astype("<f8").tobytes(), 1)
-                    yield pa.RecordBatch.from_arrays([pa.array([k * (rows // _BLOCK) + b // _BLOCK], pa.int32()), pa.array([data], pa.binary())], ["block", "data"])
+                data = np.stack([x[b : b + _BLOCK] for x in total[k::2]])
+                if data.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([k * (rows // _BLOCK) + b // _BLOCK], pa.int32()), pa.array([zlib.compress(data.astype("<f8").tobytes(), 1)], pa.binary())], ["block", "data"])
+
+    def total_of(table: pa.Table) -> np.ndarray:
+        return sum(np.frombuffer(zlib.decompress(x.as_buffer()), "<f8") for x in table.column("data"))
 
     def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(_BLOCK * CLASSES)
-        for x in table.column("data"):
-            total += np.frombuffer(zlib.decompress(x.as_buffer()), "<f8")
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(total_of(table).tobytes(), 1)], pa.binary())})
+
+    def move(table: pa.Table) -> pa.Table:
+        k, b = divmod(table.column("block")[0].as_py(), rows // _BLOCK)
+        counts = total_of(table).reshape(-1, _BLOCK, CLASSES)
+        expected = counts[1] if expects else counts[0].sum(axis=1, keepdims=True) * np.exp(priors[k] if k == 0 else priors[k][np.arange(_BLOCK) % CLASSES])
+        w = old.value[k][b * _BLOCK : (b + 1) * _BLOCK] + RATE * np.log((counts[0] + smoothing) / (expected + smoothing))
+        return pa.table({"block": table.column("block")[:1], "data": pa.array([np.clip(w, -LIMIT, LIMIT).astype("<f4").tobytes()], pa.binary())})
 
     tasks = max(1, min(TASKS, -(-size // TASK_BYTES)))
     branches = int(np.ceil(np.sqrt(tasks)))
     found = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, data binary")
     partial = found.withColumn("branch", F.spark_partition_id() % branches).groupBy("block", "branch").applyInArrow(add, "block int, data binary")
-    out = [np.zeros((rows, CLASSES)) for _ in range(tables)]
-    for r in partial.groupBy("block").applyInArrow(add, "block int, data binary").collect():  # a fixed number of rows
+    out = tuple(w.copy() for w in weights)
+    for r in partial.groupBy("block").applyInArrow(move, "block int, data binary").toLocalIterator():  # as many rows as blocks
         k, b = divmod(r.block, rows // _BLOCK)
-        out[k][b * _BLOCK : (b + 1) * _BLOCK] = np.frombuffer(zlib.decompress(r.data), "<f8").reshape(_BLOCK, CLASSES)
+        out[k][b * _BLOCK : (b + 1) * _BLOCK] = np.frombuffer(r.data, "<f4").reshape(_BLOCK, CLASSES)
     return out
 
 
-def _moved(weights: np.ndarray, observed: np.ndarray, expected: np.ndarray, smoothing: float) -> np.ndarray:
-    return np.clip(weights + RATE * np.log((observed + smoothing) / (expected + smoothing)), -LIMIT, LIMIT).astype(np.float32)
-
-
 def _observed(known: Classes, leaf: np.ndarray, first: list[np.ndarray], second: list[np.ndarray], total: list[np.ndarray]) -> None:
     for table, rows, output in ((total[0], first, leaf // MEMBERS), (total[1], second, leaf % MEMBERS)):
         table += np.bincount(np.concatenate([r * CLASSES + output for r in rows]), minlength=table.size).reshape(table.shape)
@@ -215,8 +225,7 @@ def _observed(known: Classes, leaf: np.ndarray, first: list[np.ndarray], second:
 
 def train(docs: DataFrame, known: Classes, size: int) -> tuple[np.ndarray, np.ndarray]:
     """The class and member weights after both updates. ``docs`` (text, apart): the training documents."""
-    prior, inner = known.priors()
-    spark, rows = docs.sparkSession, known.rows
+    spark = docs.sparkSession
     model = spark.sparkContext.broadcast(known)
 
     def count(part: T.Slice, total: list[np.ndarray]) -> None:
@@ -224,15 +233,13 @@ def train(docs: DataFrame, known: Classes, size: int) -> tuple[np.ndarray, np.nd
         leaf = model.value.of(h)
         _observed(model.value, leaf, *model.value.rows_of(features(h, offsets), leaf), total)
 
-    o1, o2 = _sums(docs.where(~F.col("apart")), 2, rows, size, count)
-    e1 = o1.sum(axis=1, keepdims=True) * np.exp(prior)
-    e2 = o2.sum(axis=1, keepdims=True) * np.exp(inner)[np.arange(rows) % CLASSES]
-    weights = tuple(_moved(np.zeros(1), o, e, SMOOTHING[0]) for o, e in ((o1, e1), (o2, e2)))
-    sent = spark.sparkContext.broadcast((known, weights))
+    nothing = tuple(np.zeros((known.rows, CLASSES), np.float32) for _ in range(2))
+    weights = _updated(docs.where(~F.col("apart")), known, nothing, size, count, expects=False)
+    sent = spark.sparkContext.broadcast(weights)
 
     def expect(part: T.Slice, total: list[np.ndarray]) -> None:
-        own, w = sent.value
-        scorer = Scorer(own, w)
+        own = model.value
+        scorer = Scorer(own, sent.value)
         h, offsets = tokens(part)
         leaf = own.of(h)
         first, second = own.rows_of(features(h, offsets), leaf)
@@ -240,14 +247,13 @@ def train(docs: DataFrame, known: Classes, size: int) -> tuple[np.ndarray, np.nd
         for at in range(0, len(h), STEP):
             s = slice(at, at + STEP)
             a, b = [r[s] for r in first], [r[s] for r in second]
-            for table, rows_, values in zip(total[2:], (a, b), scorer.run(a, b, leaf[s]), strict=True):
+            for table, rows, values in zip(total[2:], (a, b), scorer.run(a, b, leaf[s]), strict=True):
                 p = np.exp(values, out=values)
                 p /= p.sum(axis=1, keepdims=True)
-                for r in rows_:
+                for r in rows:
                     _add_rows(table, r, p)
 
-    o1, o2, e1, e2 = _sums(docs.where("apart"), 4, rows, size // SECOND, expect)
-    return tuple(_moved(w, o, e, SMOOTHING[1]) for w, o, e in zip(weights, (o1, o2), (e1, e2), strict=True))
+    return _updated(docs.where("apart"), known, weights, size // 4, expect, expects=True)
 
 
 def _signed(h: np.ndarray) -> pa.Array:
