@@ -47,7 +47,7 @@ SINGLE = 16
 HEAD = 16
 ROWS = (1 << 12, 1 << 16)
 TOKENS_A_ROW = 128
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 TASK_BYTES = 32 << 20
 TASKS = 8192
 SECOND = 16
@@ -56,6 +56,7 @@ SMOOTHING = (2.0, 8.0)  # of the first and the second update
 LIMIT = 10.0  # of a weight
 STEP = 1 << 12
 _BLOCK = 1024
+_TOGETHER = 64  # tasks whose tables meet at once
 END = np.uint64(0x51ED270B2F6A1D3C)
 _BEFORE = np.uint64(0x2545F4914F6CDD1D)
 _SALT = tuple(np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
@@ -184,33 +185,41 @@ def _updated(docs: DataFrame, known: Classes, weights: tuple[np.ndarray, np.ndar
     old = docs.sparkSession.sparkContext.broadcast(weights)
     priors = known.priors()
 
+    def packed(block: int, seen: np.ndarray, expected: np.ndarray | None) -> tuple:
+        return block, zlib.compress(seen.astype("<i8").tobytes(), 1), None if expected is None else zlib.compress(expected.astype("<f4").tobytes(), 1)
+
+    def unpacked(table: pa.Table) -> tuple[int, np.ndarray, np.ndarray | None]:
+        seen = sum(np.frombuffer(zlib.decompress(x.as_buffer()), "<i8") for x in table.column("seen")).reshape(_BLOCK, CLASSES)
+        expected = sum(np.frombuffer(zlib.decompress(x.as_buffer()), "<f4").astype(np.float64) for x in table.column("expected")).reshape(_BLOCK, CLASSES) if expects else None
+        return table.column("block")[0].as_py(), seen, expected
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = [np.zeros((rows, CLASSES), np.float32) for _ in range(4 if expects else 2)]
+        total = [np.zeros((rows, CLASSES), np.int32 if k < 2 else np.float32) for k in range(4 if expects else 2)]
         for part in T.slices(batches):
             own(part, total)
         for k in (0, 1):
             for b in range(0, rows, _BLOCK):
-                data = np.stack([x[b : b + _BLOCK] for x in total[k::2]])
-                if data.any():
-                    yield pa.RecordBatch.from_arrays([pa.array([k * (rows // _BLOCK) + b // _BLOCK], pa.int32()), pa.array([zlib.compress(data.astype("<f8").tobytes(), 1)], pa.binary())], ["block", "data"])
-
-    def total_of(table: pa.Table) -> np.ndarray:
-        return sum(np.frombuffer(zlib.decompress(x.as_buffer()), "<f8") for x in table.column("data"))
+                seen = total[k][b : b + _BLOCK]
+                if seen.any():
+                    row = packed(k * (rows // _BLOCK) + b // _BLOCK, seen, total[k + 2][b : b + _BLOCK] if expects else None)
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names)
 
     def add(table: pa.Table) -> pa.Table:
-        return pa.table({"block": table.column("block")[:1], "data": pa.array([zlib.compress(total_of(table).tobytes(), 1)], pa.binary())})
+        return pa.table([pa.array([x], t) for x, t in zip(packed(*unpacked(table)), kinds, strict=True)], names)
 
     def move(table: pa.Table) -> pa.Table:
-        k, b = divmod(table.column("block")[0].as_py(), rows // _BLOCK)
-        counts = total_of(table).reshape(-1, _BLOCK, CLASSES)
-        expected = counts[1] if expects else counts[0].sum(axis=1, keepdims=True) * np.exp(priors[k] if k == 0 else priors[k][np.arange(_BLOCK) % CLASSES])
-        w = old.value[k][b * _BLOCK : (b + 1) * _BLOCK] + RATE * np.log((counts[0] + smoothing) / (expected + smoothing))
+        block, seen, expected = unpacked(table)
+        k, b = divmod(block, rows // _BLOCK)
+        if expected is None:
+            expected = seen.sum(axis=1, keepdims=True) * np.exp(priors[k] if k == 0 else priors[k][np.arange(_BLOCK) % CLASSES])
+        w = old.value[k][b * _BLOCK : (b + 1) * _BLOCK] + RATE * np.log((seen + smoothing) / (expected + smoothing))
         return pa.table({"block": table.column("block")[:1], "data": pa.array([np.clip(w, -LIMIT, LIMIT).astype("<f4").tobytes()], pa.binary())})
 
+    names, kinds, schema = ["block", "seen", "expected"], [pa.int32(), pa.binary(), pa.binary()], "block int, seen binary, expected binary"
     tasks = max(1, min(TASKS, -(-size // TASK_BYTES)))
-    branches = int(np.ceil(np.sqrt(tasks)))
-    found = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, data binary")
-    partial = found.withColumn("branch", F.spark_partition_id() % branches).groupBy("block", "branch").applyInArrow(add, "block int, data binary")
+    partial = docs.select("text").coalesce(tasks).mapInArrow(run, schema)
+    if tasks > _TOGETHER:
+        partial = partial.withColumn("branch", F.spark_partition_id() % -(-tasks // _TOGETHER)).groupBy("block", "branch").applyInArrow(add, schema)
     out = tuple(w.copy() for w in weights)
     for r in partial.groupBy("block").applyInArrow(move, "block int, data binary").toLocalIterator():  # as many rows as blocks
         k, b = divmod(r.block, rows // _BLOCK)
