@@ -1,12 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule names the measurement it needs and a rejection test. Cost (seconds a document) and
-selectivity (share rejected) are estimated on a bounded sample (``sample_rows`` documents); rules are
-then ordered by rejection per cost, and a rule sees only the documents that earlier ones let pass.
+selectivity (share rejected) are estimated on the first ``sample_rows`` documents of every partition;
+rules are then ordered by rejection per cost, and a rule sees only the documents that earlier ones let
+pass. ``measure`` also returns the measurements of every document, so it makes those first; its
+verdict comes from the cascade over what the base rules left.
 The verdict is a conjunction, so the order never changes a result, only its cost.
 
 Defined cases: a null text counts as a text without words; empty tables give empty results; rows
-with equal ids are judged one by one; extra input columns are ignored.
+with equal ids are judged one by one; rules of equal worth keep their listed order; a very long text
+is a slice of its own; extra input columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
+#: Documents of each partition that costs and selectivities are estimated on.
+SAMPLE_ROWS = 16
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
 
 
@@ -117,8 +122,8 @@ RULES = (
 BASE_RULES = RULES[:2]
 
 
-def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> list[tuple[str, float, float]]:
-    """(rule, seconds a document, share rejected) on a sample of at most ``sample_rows`` documents, timed on the executors."""
+def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, seconds a document, share rejected) on the first ``sample_rows`` documents of every partition, timed on the executors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
@@ -129,8 +134,8 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
                 rows.append((rule.name, time.thread_time() - began, rejected, part.n))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rule", "seconds", "rejected", "n"])
 
-    own = docs.select(F.col("text").cast("string").alias("text"))
-    sample = docs.sparkSession.createDataFrame(own.take(sample_rows), own.schema)  # take() reads only as many files as it needs
+    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within its partition
+    sample = docs.select(F.col("text").cast("string").alias("text"), place.alias("place")).where(F.col("place") < sample_rows).select("text")
     found = sample.mapInArrow(run, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     return [(x.rule, x.s / x.n, x.r / x.n) for x in found]
 
@@ -141,10 +146,13 @@ def order_rules(rules: tuple[Rule, ...], estimates: list[tuple[str, float, float
     return tuple(sorted(rules, key=lambda r: -worth.get(r.name, -1.0)))
 
 
-def cascade(part: T.Slice, rules: tuple[Rule, ...]) -> np.ndarray:
-    """Which documents of a slice pass all rules; each rule measures only those that are left."""
-    passed = np.ones(part.n, bool)
-    seen = Measurements(part)
+def cascade(part: T.Slice, rules: tuple[Rule, ...], passed: np.ndarray | None = None, seen: Measurements | None = None) -> np.ndarray:
+    """Which documents of a slice pass all rules; each rule measures only those that are left.
+
+    ``passed``: those that the cascade starts with; ``seen``: measurements made before.
+    """
+    passed = np.ones(part.n, bool) if passed is None else passed.copy()
+    seen = seen or Measurements(part)
     for rule in rules:
         left = np.flatnonzero(passed)
         if not len(left):
@@ -156,7 +164,7 @@ def cascade(part: T.Slice, rules: tuple[Rule, ...]) -> np.ndarray:
     return passed
 
 
-def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> DataFrame:
+def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(doc_id, kept): the cascade alone, with nothing measured that it doesn't need."""
     ordered = order_rules(rules, estimate(docs, rules, sample_rows))
 
@@ -167,11 +175,11 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: i
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, kept boolean")
 
 
-def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 128) -> DataFrame:
+def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per document the measurements, whether a base rule fails, and the cascade's verdict.
 
-    The measurements are part of the result, so they are all made here; the cascade then runs over
-    those that no base rule rejected.
+    The measurements are part of the result, so they are made for all; the verdict is the cascade's, in
+    the estimated order, over those that no base rule rejected.
     """
     extra = tuple(r for r in rules if r not in BASE_RULES)
     ordered = order_rules(extra, estimate(docs, extra, sample_rows))
@@ -183,11 +191,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
             failed = np.zeros(part.n, bool)
             for rule in BASE_RULES:
                 failed |= rule.rejects(m)
-            kept = ~failed
-            for rule in ordered:
-                if not kept.any():
-                    break
-                kept &= ~rule.rejects(m)
+            kept = cascade(part, ordered, ~failed, m)
             arrays = [part.batch.column(0), *(pa.array(m[k].astype(np.int64)) for k in names), pa.array(failed), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", *names, "base_failed", "kept"])
 
