@@ -9,8 +9,9 @@ boilerplate, and the content's blocks are joined in page order.
 Nodes are linear in the page and every page is one row, so nothing is shuffled.
 
 Defined cases: a null or empty page, or one without content, gives an empty text; broken markup is
-read as far as it goes (unclosed elements end with their parent, an unclosed comment or script with
-the page); repeated rows each get a row; empty tables give empty results; extra columns are ignored.
+read as far as it goes (unclosed elements end with their parent, an unclosed tag at the next "<" and
+an unclosed comment or script with the page), and none of it reaches the text; a very long page takes
+time in proportion; equal costs leave a node with the boilerplate; repeated rows each get a row; empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A tag that isn't closed ends at the next "<" or the page's end; a quote without a partner in ``_VALUE``
+#: characters is one by itself. So every character is looked at a bounded number of times.
+_VALUE = 4096
+_ATTRIBUTES = rf"""(?:[^<>"']++|"[^"]{{0,{_VALUE}}}+"|'[^']{{0,{_VALUE}}}+'|["'])*+"""
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|iframe|object|canvas|textarea|select)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>",
+    rf"|<(script|style|noscript|template|title|svg|iframe|object|canvas|textarea|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
+    r"|<[!?][^<>]*+>?"
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>?",
     re.S | re.I,
 )
 _CUES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -56,6 +62,9 @@ class Element:
     signature: str
     parent: int
     depth: int
+    nearest: int = 0  # the cue of the nearest element with one, this included
+    bad: int = 0  # boilerplate cues from here up
+    good: int = 0
 
 
 @dataclass
@@ -83,6 +92,18 @@ def _cue(tag: str, attributes: str) -> tuple[int, str]:
 def parse(page: str) -> tuple[list[Element], list[Node]]:
     elements, nodes = [Element("", 0, "", -1, 0)], []
     stack, pieces, links, linked = [0], [], 0, 0
+    opened: Counter[str] = Counter()
+
+    def enter(tag: str, cue: int, signature: str) -> None:
+        up = elements[stack[-1]]
+        elements.append(Element(tag, cue, signature, stack[-1], up.depth + 1, cue or up.nearest, up.bad + (cue < 0), up.good + (cue > 0)))
+        stack.append(len(elements) - 1)
+        opened[tag] += 1
+
+    def leave(k: int) -> None:
+        for at in stack[k:]:
+            opened[elements[at].tag] -= 1
+        del stack[k:]
 
     def flush() -> None:
         nonlocal pieces, linked
@@ -101,10 +122,12 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
         pieces, linked = [], 0
 
     def close(names: tuple[str, ...], stop: tuple[str, ...]) -> None:
+        if not any(opened[x] for x in names):
+            return
         for k in range(len(stack) - 1, 0, -1):
             tag = elements[stack[k]].tag
             if tag in names:
-                del stack[k:]
+                leave(k)
                 return
             if tag in stop:
                 return
@@ -131,8 +154,7 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
                 if m[2]:
                     close(("button",), ())
                 else:
-                    elements.append(Element(tag, -1, tag, stack[-1], elements[stack[-1]].depth + 1))
-                    stack.append(len(elements) - 1)
+                    enter(tag, -1, tag)
             continue
         flush()
         if m[2]:
@@ -142,17 +164,14 @@ def parse(page: str) -> tuple[list[Element], list[Node]]:
             continue
         links = 0
         if elements[stack[-1]].tag == "p":
-            stack.pop()
+            leave(len(stack) - 1)
         if tag in CLOSED_BY:
             names, stop = CLOSED_BY[tag]
             for _ in names.split():
                 close(tuple(names.split()), stop)
         cue, names = _cue(tag, m[4])
-        elements.append(Element(tag, cue, f"{tag} {names}", stack[-1], elements[stack[-1]].depth + 1))
-        stack.append(len(elements) - 1)
-    if end < len(page):
-        rest = page[end:]
-        pieces.append(rest[: rest.rfind("<")] if re.search(r"<[/a-zA-Z!][^>]*\Z", rest) else rest)
+        enter(tag, cue, f"{tag} {names}")
+    pieces.append(page[end:])
     flush()
     return elements, nodes
 
@@ -163,16 +182,10 @@ FEATURES = 12
 def features(elements: list[Element], nodes: list[Node]) -> np.ndarray:
     out = np.zeros((len(nodes), FEATURES))
     for i, n in enumerate(nodes):
-        nearest, bad, good, at = 0, 0, 0, n.element
-        while at >= 0:
-            cue = elements[at].cue
-            if cue:
-                nearest = nearest or cue
-                bad += cue < 0
-                good += cue > 0
-            at = elements[at].parent
+        own = elements[n.element]
+        nearest, bad, good = own.nearest, own.bad, own.good
         chars = sum(map(len, n.blocks))
-        tag = elements[n.element].tag
+        tag = own.tag
         marks = sum(b.count(".") + b.count(",") for b in n.blocks)
         out[i] = (1.0, nearest < 0, nearest > 0, min(bad, 3), min(good, 3), bad > 0 and good == 0, math.log1p(chars / len(n.blocks)), math.log1p(chars), n.linked / max(chars, 1), min(1.0, 20 * marks / max(chars, 1)), tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("p", "blockquote", "pre"))
     return out
