@@ -114,11 +114,19 @@ def test_language_model_base_score(spark, texts):
 
 
 def test_class_probabilities_add_up():
-    c = language_model.Classes(np.arange(1, 33, dtype=np.uint64), np.arange(64.0), np.ones(64))
-    r = np.random.default_rng(0)
-    f = r.integers(0, language_model.ROWS, (4, 10)).astype(np.uint16)
-    z = language_model._class_scores(f, r.normal(size=(language_model.ROWS, 64)).astype(np.float32), c.prior())
-    assert np.allclose(np.exp(z).sum(axis=1), 1, atol=1e-4)
+    rng, lm = np.random.default_rng(4), language_model
+    words = np.sort(rng.integers(1, 1 << 63, 200, dtype=np.uint64))
+    leaf = lm.Classes.place(rng.permutation(200)).astype(np.int32)
+    n, v = np.zeros(lm.CLASSES * lm.MEMBERS), np.zeros(lm.CLASSES * lm.MEMBERS)
+    n[leaf] = rng.integers(1, 50, 200)
+    known = lm.Classes(words, leaf, n[leaf].astype(int), n.reshape(lm.CLASSES, -1), v.reshape(lm.CLASSES, -1), 1 << 12)
+    weights = tuple(rng.normal(size=(1 << 12, lm.CLASSES)).astype(np.float32) for _ in range(2))
+    keys = [np.repeat(rng.integers(1, 1 << 63, 1, dtype=np.uint64), lm.CLASSES * lm.MEMBERS) for _ in range(4)]
+    leaves = np.arange(lm.CLASSES * lm.MEMBERS)
+    there = np.isin(leaves, leaf) | (leaves >= (lm.SINGLE + lm.HEAD) * lm.MEMBERS)
+    empty = ~np.isin(leaves // lm.MEMBERS, leaves[there] // lm.MEMBERS)  # classes without words have next to no mass
+    p = np.exp(lm.Scorer(known, weights).log_probabilities(*known.rows_of(keys, leaves), leaves))
+    assert p[there | empty].sum() == pytest.approx(1, abs=1e-3)
 
 
 def test_mix_is_near_its_targets_and_repeats(spark):

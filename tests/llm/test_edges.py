@@ -3,6 +3,8 @@
 import hashlib
 
 import pytest
+import time
+
 from pyspark.sql import functions as F
 
 from trajecta.llm import decontaminate, html_extract, language_model, mixing, pii, quality, rollup, simhash, tokens, toxicity
@@ -140,3 +142,19 @@ def test_html(spark):
     assert (3, "One & two.\nThree", 16) in got and (3, "", 0) in got and (1, "", 0) in got and (2, "", 0) in got and len(got) == 6
     assert [x[2] for x in got if x[0] == 4] == [3000 * len("Some words here, and more.") + 2999]
     assert html_extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_apply_mix_takes_rows_without_ids_and_repeats_as_units(spark):
+    rows = [(None, "a", f"w{i} " * 5, 1) for i in range(300)] + [(7, "b", "same text here", 2)] * 40 + [(None, None, None, 3)] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _copy int")
+    taken = mixing.mix(docs).agg(F.sum("copies").alias("n")).first().n
+    out = mixing.apply_mix(docs)
+    assert out.columns == docs.columns and out.count() == taken
+
+
+def test_unclosed_markup_is_linear_and_stays_out_of_the_text():
+    weights, body = html_extract.train(), "<article><p>" + "A sentence of the main text, as it is. " * 6 + "</p>"
+    for junk in ("<a ", "<a '", '<a "', "<! ", "<script ", "</p>", "<div></x>", "<div>", "<!-- "):
+        began = time.time()
+        text = html_extract.extract(body + junk * (300_000 // len(junk)), weights)
+        assert time.time() - began < 20 and set(text) <= set(body) - set("<>/")

@@ -14,7 +14,9 @@ so no mass is lost to rounding.
 
 Defined cases: null text has size zero; sources of size zero have target zero; a null source is a
 source of its own, last in order; documents of size zero take nothing; repeated rows are units of
-their own; empty tables give empty results; extra columns are ignored.
+their own; equal sizes meet in the order of a hash of doc_id and size; a very long text is one unit of
+its size; empty tables give empty results; extra columns are ignored by ``mix`` and kept, whatever
+their names, by ``apply_mix``.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ _DONE = "array<struct<size:long,id:long,bit:int>>"
 _STATE = f"struct<done:{_DONE},open:{_UNIT}>"
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): the words of each whole text."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, source, size[, more]): the words of each whole text."""
     words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.coalesce(words, F.lit(0)).cast("long").alias("size"), *more)
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -63,7 +65,7 @@ def _meet(state: Column, unit: Column) -> Column:
     held = state["open"]
     a, b = held["p"], unit["p"]
     mass = a + b
-    draw = F.xxhash64(held["tie"], held["id"], unit["tie"], unit["id"], a, b)
+    draw = F.xxhash64(held["tie"], unit["tie"], a, b)
     below = F.pmod(draw, F.greatest(mass, F.lit(1))) < a  # the held one takes all
     above = F.pmod(draw, F.greatest(2 * ONE - mass, F.lit(1))) < ONE - b  # the held one becomes whole
     fixed = lambda u, bit: F.array(F.struct(u["size"].alias("size"), u["id"].alias("id"), F.lit(bit).alias("bit")))
@@ -96,15 +98,21 @@ def _decided(groups: DataFrame, above: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), group: int = GROUP) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every document."""
-    sizes = materialise(sized(docs), "sizes")
+    sizes = sized(docs)
+    return _mixed(sizes.withColumn("key", F.col("doc_id")), weights, group).withColumnRenamed("key", "doc_id")
+
+
+def _mixed(sizes: DataFrame, weights: tuple[int, ...], group: int) -> DataFrame:
+    """(key, size, source_size, target, taken, copies) of units (key, doc_id, source, size); the key takes no part in a draw."""
+    sizes = materialise(sizes, "sizes")
     shares = materialise(targets(sizes, weights), "targets")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shares = shares.withColumn("whole", F.floor(expected + F.lit(0.5 / ONE))).withColumn("part", F.greatest(F.lit(0), F.round((expected - F.col("whole")) * ONE)).cast("long"))
     s, d = shares.alias("s"), sizes.alias("d")
-    known = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.doc_id", "d.source", "d.size", "s.n", "s.part")
+    known = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.key", "d.doc_id", "d.source", "d.size", "s.n", "s.part")
     tie = F.xxhash64("doc_id", "size")
     buckets = F.ceil(F.col("n") / group).cast("long")
-    leaf = known.select("source", F.pmod(tie, buckets).alias("bucket"), buckets.alias("buckets"), _unit(F.col("size"), tie, F.col("doc_id"), F.col("part")))
+    leaf = known.select("source", F.pmod(tie, buckets).alias("bucket"), buckets.alias("buckets"), _unit(F.col("size"), tie, F.col("key"), F.col("part")))
     levels = [_folded(leaf, "rounding")]
     most = -(-(shares.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n) // group)
     while most > 1:
@@ -113,20 +121,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), group: int = GROU
         levels.append(_folded(up.select("source", F.col("b2").alias("bucket"), F.col("n2").alias("buckets"), "unit"), "rounding"))
         most = -(-most // group)
     root = levels[-1]
-    chosen = root.select("source", F.col("bucket").alias("id"), (F.pmod(F.xxhash64("source", "open.id", "open.tie"), F.lit(ONE)) < F.col("open.p")).cast("int").alias("bit"))
+    chosen = root.select("source", F.col("bucket").alias("id"), (F.pmod(F.xxhash64("source", "open.tie"), F.lit(ONE)) < F.col("open.p")).cast("int").alias("bit"))
     for groups in reversed(levels):
         chosen = _decided(groups, chosen)
         chosen = chosen if groups is levels[0] else chosen.select("source", "id", "bit")
     c = chosen.alias("c")
     out = c.join(s, F.col("c.source").eqNullSafe(F.col("s.source")))
     copies = (F.col("s.whole") + F.col("c.bit")).cast("long")
-    return out.select(F.col("c.id").alias("doc_id"), "c.size", "s.source_size", "s.target", (copies * F.col("c.size")).alias("taken"), copies.alias("copies"))
+    return out.select(F.col("c.id").alias("key"), "c.size", "s.source_size", "s.target", (copies * F.col("c.size")).alias("taken"), copies.alias("copies"))
 
 
 def apply_mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), group: int = GROUP) -> DataFrame:
-    """The documents, each as often as the mix takes it (columns as in ``docs``)."""
-    mixed = mix(docs, weights, group).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    m, d = mixed.alias("m"), docs.alias("d")
-    joined = d.join(m, F.col("d.doc_id").cast("long").eqNullSafe(F.col("m.doc_id"))).where("m.copies > 0")
-    times = F.array_repeat(F.lit(0), F.col("m.copies").cast("int"))
-    return joined.select(*[F.col(f"d.`{x}`") for x in docs.columns], F.explode(times).alias("_copy")).drop("_copy")
+    """The documents, each row as often as the mix takes it (columns as in ``docs``).
+
+    Rows are numbered in a written table first, so repeated rows and rows without an id are units of their own.
+    """
+    rows = materialise(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("key")), "units")
+    sizes = sized(rows.select("row.doc_id", "row.source", "row.text", "key"), "key")
+    mixed = _mixed(sizes, weights, group).where("copies > 0").select("key", F.col("copies").cast("int").alias("copies"))
+    return rows.join(mixed, "key").select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).select("row.*")
