@@ -43,7 +43,8 @@ SIMILARITY = (4, 5)
 SHARED = 3
 FREQUENT = 1 << 16
 BINS = 64
-_AT_ONCE = 1 << 18
+#: Keys that a broadcast may have (16 bytes each); more are joined by a shuffle.
+BROADCAST_ROWS = 1 << 18
 _FEED = 1 << 16
 
 
@@ -165,79 +166,116 @@ def _least_of_class(docs: DataFrame, classes: DataFrame) -> DataFrame:
     return one.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
+def _shingle_set(data: bytes, shingle: int) -> tuple[np.ndarray, int, int]:
+    """A text's sorted distinct shingles, the set's own hash, and the text's fingerprint."""
+    h = list(shingle_hashes(data, shingle))
+    own = np.unique(np.concatenate(h)).view(np.int64) if h else np.zeros(0, np.int64)
+    return own, xxhash.xxh64_intdigest(own.tobytes(), SEED), _majority(h)
+
+
 def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, fp, id, bins, shingles): fingerprint and sorted distinct shingles; id is the set's own hash."""
+    """(doc_id, h, fp, id, n, bins): a hash of the text, its fingerprint, and its shingle set's hash, size and counts by bin.
+
+    The sets themselves are made again from the text where they are needed, which is cheaper than to keep them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches):
-            fp, ids, sets, bins = np.zeros(part.n, np.uint64), np.zeros(part.n, np.uint64), [], np.zeros((part.n, BINS), np.int8)
+            fp, ids, size, bins = np.zeros(part.n, np.uint64), np.zeros(part.n, np.uint64), np.zeros(part.n, np.int64), np.zeros((part.n, BINS), np.int8)
             for i in range(part.n):
-                h = list(shingle_hashes(part.text_bytes(i), shingle))
-                fp[i] = _majority(h)
-                sets.append(np.unique(np.concatenate(h)).view(np.int64) if h else np.zeros(0, np.int64))
-                bins[i] = np.bincount(sets[-1] & (BINS - 1), minlength=BINS).clip(max=127)
-                ids[i] = xxhash.xxh64_intdigest(sets[-1].tobytes(), SEED)
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+                own, ids[i], fp[i] = _shingle_set(part.text_bytes(i), shingle)
+                size[i] = len(own)
+                bins[i] = np.bincount(own & (BINS - 1), minlength=BINS).clip(max=127)
             binned = pa.ListArray.from_arrays(pa.array(np.arange(part.n + 1, dtype=np.int32) * BINS), pa.array(bins.ravel()))
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.batch.column(0), pa.array(fp.view(np.int64)), pa.array(ids.view(np.int64)), binned, lists], ["doc_id", "fp", "id", "bins", "shingles"])
+            yield pa.RecordBatch.from_arrays([part.batch.column(0), part.batch.column(1), pa.array(fp.view(np.int64)), pa.array(ids.view(np.int64)), pa.array(size), binned], ["doc_id", "h", "fp", "id", "n", "bins"])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    return own.mapInArrow(run, "doc_id long, h long, fp long, id long, n long, bins array<tinyint>")
+
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long, id long, bins array<tinyint>, shingles array<long>")
+def _frequent_shingles(docs: DataFrame, shingle: int) -> list[int]:
+    """The shingles that most of a sixteenth of the texts have (``FREQUENT`` at most), most frequent first."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches):
+            own = [_shingle_set(part.text_bytes(i), shingle)[0] for i in range(part.n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own))], ["key"])
+
+    sample = docs.select("text").where(F.pmod(F.xxhash64("text"), F.lit(16)) == 0)
+    counts = sample.mapInArrow(run, "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
+    return [r.key for r in counts.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()]
 
-def _first_shingles(sets: DataFrame, frequent: list[int]) -> DataFrame:
+
+def _first_shingles(docs: DataFrame, frequent: list[int], shingle: int) -> DataFrame:
     """(id, n, key): the shingles under which a set is found, frequent ones last.
 
     ``frequent``, most frequent first, only sets the order: any order finds the same links.
     """
     known = np.array(frequent, np.int64)
     by_hash = np.argsort(known)
-    model = sets.sparkSession.sparkContext.broadcast((known[by_hash], len(known) - by_hash))
+    model = docs.sparkSession.sparkContext.broadcast((known[by_hash], len(known) - by_hash))
     least, whole = SIMILARITY
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = model.value
-        for batch in batches:
-            total = np.cumsum(batch.column(1).value_lengths().to_numpy().astype(np.int64))
-            at = 0
-            while at < batch.num_rows:
-                end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _AT_ONCE, side="right")))
-                piece, at = batch.slice(at, end - at), end
-                size = piece.column(1).value_lengths().to_numpy().astype(np.int64)
-                flat = piece.column(1).flatten().to_numpy()
-                row = np.repeat(np.arange(len(size)), size)
-                rank = np.zeros(len(flat), np.int64)
-                if len(hashes):
-                    near = np.searchsorted(hashes, flat).clip(max=len(hashes) - 1)
-                    rank = np.where(hashes[near] == flat, ranks[near], 0)
-                order = np.lexsort((flat, rank, row))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
-                common = -(-least * size // whole)
-                taken = place < (size - common + np.minimum(SHARED, common))[row]
-                own = row[taken]
-                yield pa.RecordBatch.from_arrays([pa.array(piece.column(0).to_numpy()[own]), pa.array(size[own]), pa.array(flat[order][taken])], ["id", "n", "key"])
-
-    return sets.select("id", "shingles").mapInArrow(run, "id long, n long, key long")
-
-
-def _similar(pairs: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """(a, b): those of the pairs whose sets are similar enough, on the whole sets."""
+        for part in T.slices(batches):
+            ids, sizes, keys = [], [], []
+            for i in range(part.n):
+                own, name, _ = _shingle_set(part.text_bytes(i), shingle)
+                common = -(-least * len(own) // whole)
+                first = len(own) - common + min(SHARED, common)
+                rank = np.zeros(len(own), np.int64)
+                if len(hashes) and len(own):
+                    near = np.searchsorted(hashes, own).clip(max=len(hashes) - 1)
+                    rank = np.where(hashes[near] == own, ranks[near], 0)
+                keys.append(own[np.argsort(rank, kind="stable")[:first]])
+                ids.append(name)
+                sizes.append(len(own))
+            count = [len(k) for k in keys]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.uint64).view(np.int64), count)), pa.array(np.repeat(np.array(sizes, np.int64), count)), pa.array(np.concatenate(keys))], ["id", "n", "key"])
+
+    return docs.select("text").mapInArrow(run, "id long, n long, key long")
+
+
+def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is wanted; ``wanted``, a written table, is broadcast only if it is small."""
+    return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
+
+
+def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(a, b): those of the pairs whose sets are similar enough: by their bins first, then on the whole sets."""
     least, whole = SIMILARITY
-    bins = found.select("id", F.struct(F.size("shingles").alias("n"), "bins").alias("bins")).dropDuplicates(["id"])
-    side = lambda k, c, own: own.select(F.col("id").alias(k), F.col(own.columns[1]).alias(c))
-    both = pairs.distinct().join(side("a", "x", bins), "a").join(side("b", "y", bins), "b")
-    apart = F.aggregate(F.zip_with("x.bins", "y.bins", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda s, v: s + v)
-    may = (whole + least) * apart <= (whole - least) * (F.col("x.n") + F.col("y.n"))
-    pairs = materialise(both.where(may).select("a", "b"), name)
-    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = found.select("id", "shingles").join(asked, "id", "left_semi").dropDuplicates(["id"])
-    both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    return materialise(both.where(whole * common >= least * (F.size("x") + F.size("y") - common)).select("a", "b"), name)
-
-
-def similar_links(found: DataFrame) -> DataFrame:
-    """(a, b): links between ids that connect all sets of ``SIMILARITY`` or more; ``found`` as of ``shingle_sets``.
+    ends = lambda p: p.select(F.col("a").alias("id")).unionByName(p.select(F.col("b").alias("id"))).distinct()
+    pairs = materialise(pairs.distinct(), name)
+    own = _among(found.select("id", "h", "n", "bins"), materialise(ends(pairs), name), "id")
+    own = materialise(own.groupBy("id").agg(F.min(F.struct("h", "n", "bins")).alias("s")).select("id", "s.*"), name)
+    side = lambda k, c, rows: rows.select(F.col("id").alias(k), *[F.col(x).alias(f"{c}_{x}") for x in rows.columns if x != "id"])
+    counts = own.select("id", "n", "bins")
+    both = pairs.join(side("a", "x", counts), "a").join(side("b", "y", counts), "b")
+    apart = F.aggregate(F.zip_with("x_bins", "y_bins", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda s, v: s + v)
+    pairs = materialise(both.where((whole + least) * apart <= (whole - least) * (F.col("x_n") + F.col("y_n"))).select("a", "b"), name)
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches):
+            made = [_shingle_set(part.text_bytes(i), shingle) for i in range(part.n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in made], np.uint64).view(np.int64)), pa.array([x[0].tobytes() for x in made], pa.binary())], ["id", "set"])
+
+    def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(c)] for c in (2, 3))
+            common = [len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)]
+            alike = [whole * c >= least * (len(p) + len(q) - c) for c, p, q in zip(common, x, y, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    texts = materialise(own.join(ends(pairs), "id", "left_semi").select("h").distinct(), name)
+    sets = _among(docs.select(F.xxhash64("text").alias("h"), "text"), texts, "h").dropDuplicates(["h"])
+    sets = materialise(sets.select("text").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]), name)
+    both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b").select("a", "b", "x_set", "y_set")
+    return materialise(both.mapInArrow(checked, "a long, b long"), name)
+
+
+def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(a, b): links between ids that connect all sets of ``SIMILARITY`` or more; ``found``: ``shingle_sets(docs)``.
 
     The first links are of near fingerprints and of each set to one other under its keys. What these
     connect is not compared again, so a large family costs a pair a member and not its square; all
@@ -251,17 +289,14 @@ def similar_links(found: DataFrame) -> DataFrame:
     first = near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     first = first.unionByName(fps.join(heads, "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
 
-    sample = found.where(F.pmod("id", F.lit(16)) == 0).select("id", "shingles").dropDuplicates(["id"])
-    frequent = sample.select(F.explode("shingles").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 2")
-    frequent = [r.key for r in frequent.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()]
     same = Window.partitionBy("key")
-    shared = _first_shingles(found, frequent).withColumn("head", F.min(F.struct("id", "n")).over(same)).withColumn("top", F.max("id").over(same)).where("head.id <> top")
+    shared = _first_shingles(docs, _frequent_shingles(docs, shingle), shingle).withColumn("head", F.min(F.struct("id", "n")).over(same)).withColumn("top", F.max("id").over(same)).where("head.id <> top")
     shared = materialise(shared.select("id", "n", "key", F.col("head.id").alias("head"), F.col("head.n").alias("m")).distinct(), "keys")
     needed = F.least(F.lit(SHARED), F.ceil(least * F.least("m", "n") / whole))
     alike = whole * F.least("m", "n") >= least * F.greatest("m", "n")
     stars = shared.where((F.col("id") != F.col("head")) & alike).groupBy("id", "head", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed)
     stars = stars.groupBy("id").agg(F.max_by("head", "c").alias("b")).select(F.col("id").alias("a"), "b")
-    first = _similar(first.unionByName(stars), found, "first_links")
+    first = _similar(first.unionByName(stars), found, docs, shingle, "first_links")
 
     roots = connected_components(first)
     classed = shared.join(roots, shared.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("class"))
@@ -271,7 +306,7 @@ def similar_links(found: DataFrame) -> DataFrame:
     b = classed.select("key", F.col("id").alias("b"), "n", "class")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
     pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("a", "b")
-    return first.unionByName(_similar(pairs, found, "more_links"))
+    return first.unionByName(_similar(pairs, found, docs, shingle, "more_links"))
 
 
 def similar_classes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -281,7 +316,7 @@ def similar_classes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFram
     """
     found = materialise(shingle_sets(docs, shingle), "shingles")
     nodes = found.groupBy("id").agg(F.min("doc_id").alias("least"))
-    roots = connected_components(similar_links(found))
+    roots = connected_components(similar_links(found, docs, shingle))
     rooted = materialise(nodes.join(roots, nodes.id == roots.node, "left").select("id", "least", F.coalesce("root", "id").alias("root")), "nodes")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(named, "root").select("id", "component_id")
