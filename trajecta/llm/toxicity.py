@@ -30,7 +30,7 @@ FEATURES = 4096
 BITS = 18
 SIZES = (4, 5, 6)
 #: Text expanded at once; n-gram arrays take about a hundred times as much.
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 18
 THRESHOLD = 0.7
 _LETTER = np.where(T.ALPHANUMERIC, np.arange(256), 0x20).astype(np.uint32)
 _MIX = tuple(np.uint32(x) for x in (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, 0x27D4EB2F))
