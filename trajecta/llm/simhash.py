@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected_components
-from .store import materialise
+from .store import bound_batches, materialise
 
 SEED = 42
 SHINGLE = 3
@@ -314,6 +314,7 @@ def similar_classes(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFram
 
     Defined cases as of ``near_duplicates``; texts without words are one class.
     """
+    bound_batches(docs.sparkSession)
     found = materialise(shingle_sets(docs, shingle), "shingles")
     nodes = found.groupBy("id").agg(F.min("doc_id").alias("least"))
     roots = connected_components(similar_links(found, docs, shingle))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import materialise
+from .store import bound_batches, materialise
 
 PER_CLASS = 8000
 FEATURES = 4096
@@ -175,6 +175,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, thresh
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that aren't predicted toxic, with all their columns, in one pass and without a shuffle."""
+    bound_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
