@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
 from trajecta.functions import strings as S
-from trajecta.operators import history, joins, sampling, stats, trajectory, windows
+from trajecta.operators import history, joins, package, sampling, stats, trajectory, windows
 from trajecta.plans import queries as Q
 
 POSES = "episode long, frame long, x double, y double, z double, yaw double"
@@ -46,7 +46,43 @@ def test_capacity(spark):
 
 def test_solved_rate_hits_its_target():
     k = history.solve_rate(200, 40)
-    assert sum(0.1 + 0.9 * math.exp(-a / k) for a in range(1, 200)) == pytest.approx(40, rel=1e-6)
+    assert sum(0.1 + 0.9 * math.exp(k * (t - 200) / 200) for t in range(200)) == pytest.approx(40, rel=1e-6)
+
+
+def test_formulas_by_hand(spark):
+    p = lambda h, a: spark.range(1).select(history.keep_probability(F.lit(h), F.lit(a), 4.0)).first()[0]
+    assert p(50, 100) == pytest.approx(0.9 * math.exp(-2) + 0.1) and p(0, 0) == 0
+    # Two cameras: 2 * (64 + 1 + 3) = 136 now, 2 * (4 + 1 + 3) = 16 a frame.
+    assert [spark.range(1).select(history.capacity(F.lit(b), 64, 2)).first()[0] for b in (100, 151, 152, 168)] == [0, 0, 1, 2]
+
+
+def test_stratified_quotas_refill_and_refuse(spark):
+    df = spark.createDataFrame([("a", i) for i in range(2)] + [("b", i) for i in range(100, 120)] + [(None, 500)], "s string, k long")
+    got = {r.s: r.n for r in sampling.stratified_sample(df, "s", "k", 20, "x").groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 2, "b": 17, None: 1}
+    for n in (0, 2, 24):
+        with pytest.raises(ValueError):
+            sampling.stratified_sample(df, "s", "k", n, "x")
+
+
+def test_dynamics_in_the_body_frame(spark):
+    rows = [(1, 0, 0.0, 0.0, 0.0, math.pi / 2, 0.0), (1, 1, 0.0, 2.0, 0.0, math.pi / 2, 1.0), (1, 2, 3.0, 6.0, 0.0, 0.0, 3.0), (2, 0, 5.0, 5.0, 0.0, 1.0, 0.0)]
+    d = windows.dynamics(spark.createDataFrame(rows, "episode long, frame long, x double, y double, z double, yaw double, sec double"), "sec")
+    got = {(r.episode, r.frame): (r.velocity, r.yaw_rate, r.acceleration) for r in d.collect()}
+    assert got[1, 0] == pytest.approx((2, 0, 0)) and got[1, 1] == pytest.approx((2, 0, 0)) and got[1, 2] == pytest.approx((2, -math.pi / 4, 0)) and got[2, 0] == (0, 0, 0)
+
+
+def test_depth_collision_order_of_reasons(spark):
+    rows = [(1, c, 5.0, 5.0) for c in (0, 1)] + [(2, 0, 50.0, 1.0), (2, 1, 50.0, 90.0)] + [(3, c, 50.0, 90.0) for c in (0, 1)] + [(4, c, 50.0, 90.0) for c in (0, 1)]
+    pixels = spark.createDataFrame(rows, "k long, camera long, before double, after double")
+    moved = spark.createDataFrame([(1, 0.0), (2, 0.0), (3, 0.1), (4, 2.0)], "k long, distance double")
+    d = package.depth_collision(pixels, moved, "k", "camera", "before", "after", 2.0, 0.5, 1.0, 0.5)
+    assert {r.k: r.reason for r in d.collect()} == {1: "tiny diff", 2: "close", 3: "distance", 4: None}
+
+
+def test_long_memory_has_no_limit(spark):
+    f = spark.range(30).selectExpr("1L AS episode", "id AS frame", "CASE WHEN id > 0 THEN array(id - 1) ELSE array() END AS candidates")
+    assert history.long_memory(f).where("frame = 29").first().memory == list(range(28))
 
 
 def test_one_to_one_rejects_repeats(spark):
@@ -100,8 +136,8 @@ def test_warping_distance():
 
 
 def test_sanitise_and_refs(spark):
-    row = spark.range(1).select(S.sanitise(F.lit("..a b/c..")).alias("a"), S.sanitise(F.lit("___")).alias("b"), S.parse_ref(S.frame_ref(F.lit("e1"), F.lit(7), F.lit("front"))).alias("p"), S.natural_key(F.lit("s10b2")).alias("n")).first()
-    assert row.a == "a_b_c" and row.b is None and tuple(row.p) == ("e1", 7, "front") and row.n > "s" + "0" * 10 + "09b"
+    row = spark.range(1).select(S.sanitise(F.lit("..a b/c..")).alias("a"), S.sanitise(F.lit("___")).alias("b"), S.parse_ref(S.frame_ref(F.lit("e1"), F.lit(7), F.lit("front"))).alias("p"), S.natural_key(F.lit("s10b2")).alias("n"), S.natural_key(F.lit("s9b2")).alias("m"), S.natural_key(F.lit("s" + "9" * 14)).alias("x"), S.natural_key(F.lit("s0" + "1" * 15)).alias("y")).first()
+    assert row.a == "a_b_c" and row.b is None and tuple(row.p) == ("e1", 7, "front") and row.n > row.m and row.x < row.y
 
 
 def test_incomplete_metric_has_no_mean(spark):
@@ -158,7 +194,7 @@ def test_history_reaches_every_earlier_frame(spark):
     draw = lambda a, h: int(hashlib.sha256(f"history:7:{a}:{h}".encode()).hexdigest()[:13], 16) / 2**52
     want = set()
     for a in range(1, 150):
-        p = {h: 0.1 + 0.9 * math.exp(-(a - h) / 6.0) for h in range(a)}
+        p = {h: 0.1 + 0.9 * math.exp(6.0 * (h - a) / a) for h in range(a)}
         kept = sorted((draw(a, h) / p[h], h) for h in p if draw(a, h) < p[h])
         want |= {(a, h) for _, h in kept[:5]}
     frames = spark.range(150).selectExpr("7L AS episode", "id AS frame")

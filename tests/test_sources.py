@@ -28,7 +28,9 @@ def test_adapters(spark, tmp_path):
     b = put("b.json", json.dumps({"episodes": [{"episode_id": "1", "trajectory_id": "t", "scene_id": 3, "instruction": {"instruction_text": "x"}, "reference_path": [[1, 2, 3, 0, 0, 0.5]]}]}))
     r = adapters.ADAPTERS["reference_paths"](spark, b).first()
     assert (r.x, r.y, r.z) == (1, -2, -3) and r.yaw == pytest.approx(-0.5)
-    c = put("c.jsonl", json.dumps({"dataset_family": "r2r", "split": "val_seen", "episode_id": "10", "instruction_text": "y", "frame_index": 2, "position": [1, 2, 3], "yaw": 0.1}) + "\nnot json\n")
+    c = put("c.jsonl", json.dumps({"dataset_family": "r2r", "split": "val_seen", "episode_id": "10", "instruction_text": "y", "frame_index": 2, "position": [1, 2, 3], "yaw": 0.1}) + "\n\n")
+    with pytest.raises(Exception, match="alformed"):
+        adapters.ADAPTERS["manifest_lines"](spark, put("bad.jsonl", "not json\n")).collect()
     r = adapters.ADAPTERS["manifest_lines"](spark, c).collect()
     assert len(r) == 1 and r[0].episode_id == "r2r_val_seen_10" and (r[0].x, r[0].y, r[0].z) == (-3, -1, 2)
     d = put("d.jsonl", json.dumps({"episode_id": "q", "conversations": [{"from": "gpt", "value": "no"}, {"from": "human", "value": "fly"}], "states": [[100, 0, -50, 90]]}))

@@ -28,10 +28,10 @@ def parse_ref(ref: Column) -> Column:
     return F.struct(F.element_at(parts, -3).alias("episode"), F.element_at(parts, -2).try_cast("bigint").alias("frame"), F.element_at(parts, -1).alias("camera"))
 
 
-def natural_key(t: Column, width: int = 12) -> Column:
-    """A string that sorts digits by their number."""
+def natural_key(t: Column) -> Column:
+    """A string that sorts digits by their number, however long: each run as its length without leading zeros, and itself."""
     runs = F.regexp_extract_all(t, F.lit(r"([0-9]+|[^0-9]+)"), F.lit(1))
-    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.lpad(r, width, "0")).otherwise(r)), "")
+    return F.array_join(F.transform(runs, lambda r: F.when(r.rlike("^[0-9]"), F.concat(F.lpad(F.length(F.regexp_replace(r, "^0+(?=.)", "")).cast("string"), 9, "0"), F.lit("."), F.regexp_replace(r, "^0+(?=.)", ""))).otherwise(r)), "")
 
 
 def json_number(v: Column) -> Column:

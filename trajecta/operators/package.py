@@ -145,7 +145,14 @@ def following(rows: DataFrame, key: str, order: list[str], followed: Column, col
     return d.groupBy(key).agg(F.count("*").alias("frames"), F.avg((F.col("_f") & ~F.col("_c")).cast("int")).alias("tracked"), F.bool_or("_c").alias("collided"), F.min(F.when(F.col("_c"), F.col("_at"))).cast("long").alias("collided_at"))
 
 
-def depth_collision(pixels: DataFrame, key: str, before: str, after: str, near: float, share: float, change: float) -> DataFrame:
-    """Share of near pixels and mean change of depth of each frame, and the reason of a collision: near goes before change."""
-    d = pixels.groupBy(key).agg(F.avg((F.col(after) <= near).cast("int")).alias("near_share"), mean_if_complete(F.abs(F.col(after) - F.col(before)), F.lit(True)).alias("mean_change"))
-    return d.withColumn("reason", F.when(F.col("near_share") >= share, "near").when(F.col("mean_change") <= change, "stuck").otherwise("none"))
+def depth_collision(pixels: DataFrame, moved: DataFrame, key: str, camera: str, before: str, after: str, near: float, share: float, tiny: float, stuck: float) -> DataFrame:
+    """Whether each place collides, by its cameras' depth before and after a step and the distance ``moved`` (key, distance).
+
+    ``tiny diff`` if the mean change of every camera is under ``tiny``; else ``close`` if more than
+    ``share`` of some camera's pixels are at most ``near`` after it; else ``distance`` if it moved less
+    than ``stuck``; else null.
+    """
+    cameras = pixels.groupBy(key, camera).agg(F.avg((F.col(after) <= near).cast("int")).alias("_near"), F.avg(F.abs(F.col(before) - F.col(after))).alias("_diff"))
+    d = cameras.groupBy(key).agg(F.max("_near").alias("near_share"), F.max("_diff").alias("largest_change"), F.count_if(F.col("_near") > share).alias("close_cameras"))
+    reason = F.when(F.col("largest_change") < tiny, "tiny diff").when(F.col("close_cameras") > 0, "close").when(F.col("distance") < stuck, "distance")
+    return d.join(moved.select(key, "distance"), key, "left").withColumn("reason", reason)

@@ -11,20 +11,27 @@ from trajecta.functions.hashing import stable_rank
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
-    """``n`` rows: one from each stratum, the rest by largest remainder of its size.
+    """``n`` rows: one from each stratum, the rest by its share of all rows and largest remainder.
 
-    Quotas are computed on one row per stratum; only they are joined back.
+    A stratum gives no more rows than it has; what is then missing goes round by round to those with
+    rows left, largest remainder first. Fewer rows or more strata than ``n`` are errors. Quotas are
+    computed on one row per stratum; only they are joined back.
     """
     sizes = df.groupBy(stratum).agg(F.count("*").alias("size"))
-    everything = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    strata, total = F.count("*").over(everything), F.sum("size").over(everything)
-    exact = F.greatest(F.lit(n) - strata, F.lit(0)) * (F.col("size") - 1) / F.greatest(total - strata, F.lit(1))
-    q = sizes.withColumn("_e", exact).withColumn("_f", F.floor("_e"))
-    q = q.withColumn("_left", F.greatest(F.lit(n) - strata, F.lit(0)) - F.sum("_f").over(everything))
-    rank = F.row_number().over(Window.orderBy((F.col("_e") - F.col("_f")).desc(), stable_rank(seed, F.col(stratum))))
-    q = q.select(stratum, F.least(F.col("size"), 1 + F.col("_f") + F.when(rank <= F.col("_left"), 1).otherwise(0)).alias("quota"))
+    all_ = sizes.agg(F.count("*").alias("strata"), F.coalesce(F.sum("size"), F.lit(0)).alias("rows")).first()
+    if n <= 0 or all_.rows < n:
+        raise ValueError(f"{all_.rows} rows, {n} asked for")
+    if all_.strata > n:
+        raise ValueError(f"{all_.strata} strata can't each give one of {n} rows")
+    exact = F.lit(n - all_.strata) * F.col("size") / F.lit(all_.rows)
+    q = sizes.withColumn("_e", exact).withColumn("_own", F.least(F.col("size") - 1, F.floor("_e")))
+    missing = n - all_.strata - (q.agg(F.sum("_own").alias("n")).first().n or 0)
+    slots = q.where(F.col("size") - 1 > F.col("_own")).select(stratum, (F.col("_e") - F.floor("_e")).alias("_f"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.least(F.col("size") - 1 - F.col("_own"), F.lit(max(missing, 1))))).alias("_round"))
+    extra = slots.orderBy("_round", F.desc("_f"), stable_rank(seed, F.col(stratum))).limit(missing).groupBy(stratum).agg(F.count("*").alias("_more"))
+    quota = q.alias("q").join(extra.alias("e"), F.col(f"q.{stratum}").eqNullSafe(F.col(f"e.{stratum}")), "left").select(F.col(f"q.{stratum}").alias("_s"), (1 + F.col("_own") + F.coalesce("_more", F.lit(0))).alias("quota"))
     order = F.row_number().over(Window.partitionBy(stratum).orderBy(stable_rank(seed, F.col(key)), key))
-    return df.withColumn("_r", order).join(F.broadcast(q) if sizes.count() <= 100_000 else q, stratum).where("_r <= quota").drop("_r", "quota")
+    numbered = df.withColumn("_r", order)
+    return numbered.join(F.broadcast(quota) if all_.strata <= 100_000 else quota, F.col(stratum).eqNullSafe(F.col("_s"))).where("_r <= quota").drop("_r", "_s", "quota")
 
 
 def even_positions(length: Column, count: Column) -> Column:

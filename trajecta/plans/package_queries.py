@@ -102,7 +102,9 @@ def following_rates(t: Tables) -> DataFrame:
     return d.withColumn("tracked", F.round("tracked", 6))
 
 
-@query("WITH d AS (SELECT l_orderkey, avg((l_quantity <= 12)::INTEGER) AS near_share, avg(abs(l_quantity - l_discount * 100)) AS mean_change FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey, round(near_share, 6) AS near_share, round(mean_change, 6) AS mean_change, CASE WHEN near_share >= 0.5 THEN 'near' WHEN mean_change <= 15 THEN 'stuck' ELSE 'none' END AS reason FROM d")
+@query("WITH c AS (SELECT l_orderkey, l_linenumber % 2 AS camera, avg((l_quantity <= 12)::INTEGER) AS near, avg(abs(l_discount * 100 - l_quantity)) AS diff FROM lineitem GROUP BY 1, 2), d AS (SELECT l_orderkey, max(near) AS near_share, max(diff) AS largest_change, count(*) FILTER (near > 0.5) AS close_cameras FROM c GROUP BY 1) SELECT l_orderkey, round(near_share, 6) AS near_share, round(largest_change, 6) AS largest_change, CASE WHEN largest_change < 15 THEN 'tiny diff' WHEN close_cameras > 0 THEN 'close' WHEN o_totalprice < 100000 THEN 'distance' END AS reason FROM d LEFT JOIN orders ON o_orderkey = l_orderkey")
 def depth_collision(t: Tables) -> DataFrame:
-    d = package.depth_collision(t.lineitem.withColumn("before", F.col("l_discount") * 100), "l_orderkey", "before", "l_quantity", 12, 0.5, 15)
-    return d.withColumn("near_share", F.round("near_share", 6)).withColumn("mean_change", F.round("mean_change", 6))
+    pixels = t.lineitem.withColumn("before", F.col("l_discount") * 100).withColumn("camera", F.col("l_linenumber") % 2)
+    moved = t.orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("distance"))
+    d = package.depth_collision(pixels, moved, "l_orderkey", "camera", "before", "l_quantity", 12, 0.5, 15, 100000)
+    return d.select("l_orderkey", F.round("near_share", 6).alias("near_share"), F.round("largest_change", 6).alias("largest_change"), "reason")

@@ -84,10 +84,10 @@ def past_waypoints(t: Tables) -> DataFrame:
     return windows.past_waypoints(t.poses, 6).select("episode", "frame", "back", r6(F.col("dx"), "dx"), r6(F.col("dy"), "dy"))
 
 
-@query(f"WITH {FRAMES}, s AS (SELECT *, epoch_us(ts) / 1e6 AS sec FROM frames) SELECT event_id, round(CASE WHEN frame = 0 THEN (lead(value) OVER w - value) / greatest(lead(sec) OVER w - sec, 1e-6) ELSE (value - lag(value) OVER w) / greatest(sec - lag(sec) OVER w, 1e-6) END, 6) AS rate FROM s WINDOW w AS (PARTITION BY episode ORDER BY frame)")
+@query(f"WITH {POSES}, s AS (SELECT *, frame * 0.5 + (vec_id % 3) * 0.1 AS sec FROM poses), d AS (SELECT *, (cos(lag(yaw) OVER w) * (x - lag(x) OVER w) + sin(lag(yaw) OVER w) * (y - lag(y) OVER w)) / greatest(sec - lag(sec) OVER w, 1e-6) AS v, ({wrap_sql('yaw - lag(yaw) OVER w')}) / greatest(sec - lag(sec) OVER w, 1e-6) AS r, greatest(sec - lag(sec) OVER w, 1e-6) AS dt FROM s WINDOW w AS (PARTITION BY episode ORDER BY frame)), e AS (SELECT vec_id, episode, frame, dt, coalesce(v, lead(v) OVER w, 0) AS velocity, coalesce(r, lead(r) OVER w, 0) AS yaw_rate FROM d WINDOW w AS (PARTITION BY episode ORDER BY frame)) SELECT vec_id, round(velocity, 6) AS velocity, round(yaw_rate, 6) AS yaw_rate, round(coalesce((velocity - lag(velocity) OVER (PARTITION BY episode ORDER BY frame)) / dt, 0), 6) AS acceleration FROM e")
 def dynamics(t: Tables) -> DataFrame:
-    f = t.frames.withColumn("sec", F.unix_micros(F.col("ts").cast("timestamp")) / 1e6)
-    return windows.dynamics(f, "value", "sec").select("event_id", r6(F.col("rate"), "rate"))
+    p = t.poses.withColumn("sec", F.col("frame") * 0.5 + (F.col("vec_id") % 3) * 0.1)
+    return windows.dynamics(p, "sec").select("vec_id", *[r6(F.col(c), c) for c in ("velocity", "yaw_rate", "acceleration")])
 
 
 @query("SELECT event_id, CAST(CASE WHEN value > 20 THEN sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 ELSE -1 END AS BIGINT) AS frame_offset FROM events")
@@ -152,25 +152,30 @@ def path_progress(t: Tables) -> DataFrame:
 # --- history ------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, CAST(greatest(0, floor((p_size * 40 - (2 * (64 + 3) + 1)) / 16.0)) AS BIGINT) AS capacity FROM part")
+@query("SELECT p_partkey, CAST(greatest(0, floor((p_size * 37 - 2 * (64 + 1 + 3)) / (2 * (4 + 1 + 3.0)))) AS BIGINT) AS capacity FROM part")
 def bats_capacity(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", history.capacity(F.col("p_size") * 40, 64, 2).alias("capacity"))
+    return t.part.select("p_partkey", history.capacity(F.col("p_size") * 37, 64, 2).alias("capacity"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, round(0.1 + 0.9 * exp(-l_quantity / 12.0), 6) AS p FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(CASE WHEN l_quantity <= 0 THEN 0 ELSE least(1.0, greatest(0.0, (1 - 0.1) * exp(4.0 * (l_linenumber - l_quantity) / l_quantity) + 0.1)) END, 6) AS p FROM lineitem")
 def keep_probability(t: Tables) -> DataFrame:
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", r6(history.keep_probability(F.col("l_quantity"), 12.0), "p"))
+    p = history.keep_probability(F.col("l_linenumber"), F.col("l_quantity"), 4.0)
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", r6(p, "p"))
 
 
-@query(f"WITH {FRAMES}, c AS (SELECT a.episode, a.frame, h.frame AS history_frame, 0.1 + 0.9 * exp(-(a.frame - h.frame) / 6.0) AS p, ('0x' || substr(sha256('history:' || a.episode || ':' || a.frame || ':' || h.frame), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM frames a JOIN frames h ON a.episode = h.episode AND h.frame BETWEEN a.frame - 40 AND a.frame - 1), k AS (SELECT *, row_number() OVER (PARTITION BY episode, frame ORDER BY draw / p, history_frame) AS r FROM c WHERE draw < p) SELECT episode, frame, history_frame FROM k WHERE r <= 5")
+_SELECTED = "c AS (SELECT a.episode, a.frame, h.frame AS history_frame, least(1.0, greatest(0.0, 0.9 * exp(6.0 * (h.frame - a.frame) / a.frame) + 0.1)) AS p, ('0x' || substr(sha256('history:' || a.episode || ':' || a.frame || ':' || h.frame), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS draw FROM frames a JOIN frames h ON a.episode = h.episode AND h.frame < a.frame), k AS (SELECT *, row_number() OVER (PARTITION BY episode, frame ORDER BY draw / p, history_frame) AS r FROM c WHERE draw < p), sel AS (SELECT episode, frame, history_frame FROM k WHERE r <= 5)"
+
+
+@query(f"WITH {FRAMES}, {_SELECTED} SELECT * FROM sel")
 def history_bats_hash(t: Tables) -> DataFrame:
-    return history.select_history(t.frames, 6.0, 5, 40).select("episode", "frame", "history_frame")
+    return history.select_history(t.frames, 6.0, 5).select("episode", "frame", "history_frame")
 
 
-@query()
+@query(f"WITH RECURSIVE {FRAMES}, {_SELECTED}, l AS (SELECT f.episode, f.frame, list(s.history_frame ORDER BY s.history_frame) AS cs FROM frames f LEFT JOIN sel s ON s.episode = f.episode AND s.frame = f.frame GROUP BY f.episode, f.frame), m AS (SELECT episode, frame, cs, CAST(0 AS BIGINT) AS n, CAST(-1 AS BIGINT) AS newest FROM l WHERE frame = 0 UNION ALL SELECT l.episode, l.frame, l.cs, m.n + CASE WHEN len(list_filter(m.cs, lambda c: c > m.newest)) > 0 THEN 1 ELSE 0 END, coalesce(list_min(list_filter(m.cs, lambda c: c > m.newest)), m.newest) FROM m JOIN l ON l.episode = m.episode AND l.frame = m.frame + 1) SELECT episode, frame, n, CASE WHEN n > 0 THEN newest END AS newest FROM m")
 def long_memory(t: Tables) -> DataFrame:
-    f = t.frames.withColumn("candidates", F.when(F.col("frame") > 0, F.sequence(F.greatest(F.lit(0), F.col("frame") - 5), F.col("frame") - 1)).otherwise(F.array().cast("array<bigint>")))
-    return history.long_memory(f, 8).select("episode", "frame", F.size("memory").cast("bigint").alias("n"), F.array_max("memory").alias("newest"))
+    ranked = history.select_history(t.frames, 6.0, 5).groupBy("episode", "frame").agg(F.sort_array(F.collect_list("history_frame")).alias("candidates"))
+    f = t.frames.select("episode", "frame").join(ranked, ["episode", "frame"], "left").withColumn("candidates", F.coalesce("candidates", F.array().cast("array<bigint>")))
+    return history.long_memory(f).select("episode", "frame", F.size("memory").cast("bigint").alias("n"), F.array_max("memory").alias("newest"))
 
 
 @query("SELECT event_id, CAST((CASE WHEN value > 10 THEN 1 ELSE 0 END) | (CASE WHEN event_type = 'click' THEN 2 ELSE 0 END) | (CASE WHEN user_id % 3 = 0 THEN 4 ELSE 0 END) AS BIGINT) AS mask FROM events")
@@ -359,7 +364,7 @@ def ndtw(t: Tables) -> DataFrame:
 _RANK = "sha256('{0}:' || {1})"
 
 
-@query("WITH z AS (SELECT lang, count(*) AS size FROM documents GROUP BY lang), q AS (SELECT lang, size, (60 - count(*) OVER ()) * (size - 1) / greatest(sum(size) OVER () - count(*) OVER (), 1) AS e, 60 - count(*) OVER () AS extra FROM z), f AS (SELECT *, floor(e) AS fl, row_number() OVER (ORDER BY e - floor(e) DESC, sha256('s1:' || lang)) AS r, extra - sum(floor(e)) OVER () AS lft FROM q), k AS (SELECT lang, least(size, 1 + fl + CASE WHEN r <= lft THEN 1 ELSE 0 END) AS quota FROM f), o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('s1:' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, o.lang FROM o JOIN k ON o.lang = k.lang WHERE n <= quota")
+@query("WITH z AS (SELECT lang, count(*) AS size, count(*) OVER () AS strata, sum(count(*)) OVER () AS total FROM documents GROUP BY lang), q AS (SELECT *, (60 - strata) * size / total AS e FROM z), f AS (SELECT *, least(size - 1, floor(e)) AS own FROM q), g AS (SELECT *, 60 - strata - sum(own) OVER () AS missing FROM f), s AS (SELECT lang, missing, row_number() OVER (ORDER BY i, e - floor(e) DESC, sha256('s1:' || lang)) AS place FROM g, range(1, 61) r(i) WHERE i <= size - 1 - own), x AS (SELECT lang, count(*) AS more FROM s WHERE place <= missing GROUP BY lang), k AS (SELECT g.lang, 1 + own + coalesce(more, 0) AS quota FROM g LEFT JOIN x ON x.lang = g.lang), o AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY sha256('s1:' || doc_id), doc_id) AS n FROM documents) SELECT doc_id, o.lang FROM o JOIN k ON o.lang = k.lang WHERE n <= quota")
 def stratified_sample(t: Tables) -> DataFrame:
     return sampling.stratified_sample(t.documents.select("doc_id", "lang"), "lang", "doc_id", 60, "s1")
 

@@ -57,7 +57,7 @@ def reference_paths(spark: SparkSession, path: str) -> DataFrame:
 @adapter("manifest_lines")
 def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
     """One line per frame with a y-up position and a yaw; the episode's name is family, split and number."""
-    rows = read_lines(spark, path, "dataset_family string, split string, episode_id string, instruction_text string, frame_index bigint, position array<double>, yaw double").where("_corrupt IS NULL")
+    rows = read_lines(spark, path, "dataset_family string, split string, episode_id string, instruction_text string, frame_index bigint, position array<double>, yaw double")
     p = F.col("position")
     named = rows.withColumn("episode_id", F.concat_ws("_", "dataset_family", "split", "episode_id"))
     q = G.axes_permuted(p[0], p[1], p[2])
@@ -67,7 +67,7 @@ def manifest_lines(spark: SparkSession, path: str) -> DataFrame:
 @adapter("dialogue_lines")
 def dialogue_lines(spark: SparkSession, path: str) -> DataFrame:
     """One line per episode: states in centimetres and degrees, the instruction as the first human turn."""
-    rows = read_lines(spark, path, "episode_id string, conversations array<struct<`from`:string,value:string>>, states array<array<double>>").where("_corrupt IS NULL")
+    rows = read_lines(spark, path, "episode_id string, conversations array<struct<`from`:string,value:string>>, states array<array<double>>")
     said = F.filter("conversations", lambda t: t["from"] == "human")[0]["value"]
     flat = rows.select("episode_id", said.alias("said"), F.posexplode("states").alias("frame_index", "s"))
     s = F.col("s")
