@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
 from trajecta.functions import strings as S
-from trajecta.operators import history, joins, package, sampling, stats, trajectory, windows
+from trajecta.operators import history, joins, package, records, sampling, stats, trajectory, windows
 from trajecta.plans import queries as Q
 
 POSES = "episode long, frame long, x double, y double, z double, yaw double"
@@ -200,3 +200,13 @@ def test_history_reaches_every_earlier_frame(spark):
     frames = spark.range(150).selectExpr("7L AS episode", "id AS frame")
     assert {(x.frame, x.history_frame) for x in history.select_history(frames, 6.0, 5).collect()} == want
     assert any(a - h > 40 for a, h in want)
+
+
+def test_missing_video_start_and_bad_pose_are_errors(spark):
+    episodes = spark.createDataFrame([(1, 5)], "episode long, index long")
+    video = spark.createDataFrame([(5, "a", True, 10), (5, "b", False, 11)], "index long, camera string, available boolean, video_frame long")
+    assert records.first_frame_offsets(episodes, video, ["a"], 5).first().offset == 2.0
+    with pytest.raises(Exception, match="start of episode 1 in b"):
+        records.first_frame_offsets(episodes, video, ["a", "b"], 5).collect()
+    with pytest.raises(Exception, match="finite"):
+        spark.range(1).select(records.drone_pose(F.lit(0), F.lit(1), F.lit(float("nan")), F.lit(2))).collect()
