@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ROUNDS = 40
@@ -51,7 +51,14 @@ def dense_numbers(rows: DataFrame, order: list[str], name: str = "number") -> Da
 
     Only one count per range meets in a task. ``order`` should be unique; ties are numbered in any order.
     """
-    placed = _cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
-    inside = Window.partitionBy("_part").orderBy(*order)
-    starts = placed.groupBy("_part").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return placed.withColumn("_row", F.row_number().over(inside) - 1).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_row")).cast("bigint")).drop("_part", "_row", "_start")
+    return running_total(rows, order, F.lit(1), name)
+
+
+def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
+    """Adds the sum of ``size`` over all earlier rows in order: sums inside sorted ranges, plus the sums of the ranges before."""
+    placed = _cut(rows.withColumn("_size", size).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    starts = placed.groupBy("_part").agg(F.sum("_size").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    total = (F.col("_start") + F.coalesce(F.col("_inside"), F.lit(0))).cast("bigint")
+    return placed.withColumn("_inside", F.sum("_size").over(inside)).join(F.broadcast(starts), "_part").withColumn(name, total).drop("_part", "_inside", "_start", "_size")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions.hashing import stable_rank
+from trajecta.operators.chains import dense_numbers
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, n: int, seed: str) -> DataFrame:
@@ -60,8 +61,12 @@ def target_frames(counts: DataFrame, key: str, size: str, n: int, first: int = 4
 
 
 def contiguous_parts(df: DataFrame, order: list[str], parts: int) -> DataFrame:
-    """Adds ``part``: consecutive runs, larger ones first."""
-    return df.withColumn("part", F.ntile(parts).over(Window.orderBy(*order)) - 1)
+    """Adds ``part``: consecutive runs, larger ones first. ``order`` should be unique; rows are numbered range by range."""
+    small, larger = divmod(df.count(), parts)
+    r = F.col("_row")
+    after = F.lit(larger) + F.floor((r - larger * (small + 1)) / max(small, 1))
+    part = F.when(r < larger * (small + 1), F.floor(r / (small + 1))).otherwise(after).cast("int")
+    return dense_numbers(df, order, "_row").withColumn("part", part).drop("_row")
 
 
 def length_buckets(df: DataFrame, length: str, width: int, batch: int, seed: str, key: str) -> DataFrame:
@@ -87,10 +92,14 @@ def balanced_ranks(counts: DataFrame, key: str, size: str, ranks: int) -> DataFr
 
 
 def balanced_outcomes(df: DataFrame, success: Column, key: str, n: int, seed: str) -> DataFrame:
-    """Half successes and half failures, topped up from the other side where one is short."""
-    ranked = df.withColumn("_s", success)
-    own = F.row_number().over(Window.partitionBy("_s").orderBy(stable_rank(seed, F.col(key)), key))
-    ranked = ranked.withColumn("_r", own).withColumn("_top", F.when(F.col("_r") <= F.lit(n) / 2, 0).otherwise(1))
+    """Half successes and half failures, topped up from the other side where one is short.
+
+    Only the first ``n`` of each side can be taken, so only those are ranked.
+    """
+    marked = df.withColumn("_s", success)
+    order = [stable_rank(seed, F.col(key)), F.col(key)]
+    sides = marked.where("_s").orderBy(*order).limit(n).unionByName(marked.where("NOT _s").orderBy(*order).limit(n))
+    ranked = sides.withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy(*order))).withColumn("_top", F.when(F.col("_r") <= F.lit(n) / 2, 0).otherwise(1))
     return ranked.orderBy("_top", "_r", F.desc("_s")).limit(n).drop("_s", "_r", "_top")
 
 
@@ -113,9 +122,8 @@ def exact_group_split(counts: DataFrame, key: str, size: str, quota: int, seed:
 
 
 def lightweight_subset(df: DataFrame, scene: str, excluded: list, key: str, fraction: float, strides: list[int], seed: str) -> DataFrame:
-    """A share of the rows outside some scenes, with strides dealt in turn."""
+    """A share of the rows outside some scenes, in hash order, with strides dealt in turn."""
     left = df.where(~F.col(scene).isin(excluded))
     n = int(left.count() * fraction)
-    rank = F.row_number().over(Window.orderBy("_h", key))
-    chosen = left.withColumn("_h", stable_rank(seed, F.col(key))).orderBy("_h", key).limit(n)
-    return chosen.withColumn("stride", F.element_at(F.array(*map(F.lit, strides)), ((rank - 1) % len(strides) + 1).cast("int"))).drop("_h")
+    numbered = dense_numbers(left.withColumn("_h", stable_rank(seed, F.col(key))), ["_h", key], "_row").where(F.col("_row") < n)
+    return numbered.withColumn("stride", F.element_at(F.array(*map(F.lit, strides)), (F.col("_row") % len(strides) + 1).cast("int"))).drop("_h", "_row")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
+from trajecta.operators.chains import running_total
 
 
 def _by(episode: str, *order: str):
@@ -78,9 +79,8 @@ def running_offset(df: DataFrame, key: list[str], order: list[str], available: C
 
 
 def exclusive_offsets(counts: DataFrame, order: str, size: str) -> DataFrame:
-    """Adds ``start``: the sum of earlier sizes. ``counts`` has one row per episode, so it is small next to its frames."""
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("start", F.coalesce(F.sum(size).over(w), F.lit(0)).cast("bigint"))
+    """Adds ``start``: the sum of earlier sizes, range by range, so no task sees all rows."""
+    return running_total(counts, [order], F.col(size), "start")
 
 
 def contiguity_breaks(df: DataFrame, key: str, index: str, tie: list[str]) -> DataFrame:
