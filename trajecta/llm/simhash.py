@@ -17,7 +17,9 @@ fingerprints differ by about ten bits of 64, which no segment of useful width su
 above are only its first generator. Its second is complete: with shingles in any one order, two sets
 of that similarity share ``SHARED`` of the first ``n - ceil(0.8 n) + SHARED`` of each (or all, in tiny
 sets). The shingles of each set are also counted in ``BINS`` bins: counts that differ by more than two
-similar sets can rule a candidate out, and every other is checked on the whole sets.
+similar sets can rule a candidate out, and every other is checked on the whole sets. Sets of sizes m
+and n have ``ceil(0.8 (m + n) / 1.8)`` in common, and so share more of their first shingles the nearer
+their sizes are: all that are due must be there before a pair is made.
 """
 
 from __future__ import annotations
@@ -305,7 +307,9 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
     a = classed.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("of_a"))
     b = classed.select("key", F.col("id").alias("b"), "n", "class")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
-    pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= needed).select("a", "b")
+    common, most = F.ceil(least * (F.col("m") + F.col("n")) / (least + whole)), F.ceil(least * F.greatest("m", "n") / whole)
+    due = common - most + F.least(F.lit(SHARED), most)
+    pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= due).select("a", "b")
     return first.unionByName(_similar(pairs, found, docs, shingle, "more_links"))
 
 
