@@ -210,3 +210,21 @@ def test_missing_video_start_and_bad_pose_are_errors(spark):
         records.first_frame_offsets(episodes, video, ["a", "b"], 5).collect()
     with pytest.raises(Exception, match="finite"):
         spark.range(1).select(records.drone_pose(F.lit(0), F.lit(1), F.lit(float("nan")), F.lit(2))).collect()
+
+
+def test_names_budgets_and_padding_of_edge_rows(spark):
+    rows = spark.createDataFrame([(" Val_Seen",), ("train",)], "v string")
+    names = {"val_seen": "val", "train": "train"}
+    assert [r.n for r in rows.select(records.named_as(F.col("v"), names).alias("n")).collect()] == ["val", "train"]
+    for bad in ("test", None):
+        with pytest.raises(Exception, match="unknown name"):
+            spark.createDataFrame([(bad,)], "v string").select(records.named_as(F.col("v"), names).alias("n")).collect()
+
+    budgets = spark.createDataFrame([(135, 0.5), (136, 1.0), (151, 2.0), (152, 3.0)], "b int, k double")
+    summary = lambda d: tuple(records.budget_summary(d, F.col("b"), F.col("k"), 64, 2).first())
+    assert summary(budgets) == (4, 0, 1, 1, 0.5, 3.0)
+    assert summary(budgets.limit(0)) == (0, 0, 0, 0, float("inf"), float("inf"))
+
+    masks = spark.createDataFrame([([True, None, False],), (None,), ([],), ([True, True],)], "m array<boolean>")
+    assert tuple(records.padding_counts(masks, F.col("m")).first()) == (2, 3)
+    assert tuple(records.padding_counts(masks.limit(0), F.col("m")).first()) == (0, 0)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions.hashing import stable_rank
 from trajecta.operators.chains import dense_numbers
+from trajecta.operators.history import capacity, frame_cost
 from trajecta.operators.sampling import even_positions
 
 
@@ -95,3 +96,34 @@ def scene_and_subtype(path: Column, default: str) -> Column:
     scene = F.when(p[0] != "", p[0]).otherwise(F.lit(default))
     subtype = F.when((F.size(p) >= 3) & (F.get(p, F.lit(1)) == "astar_data"), F.get(p, F.lit(2))).otherwise(F.coalesce(F.get(p, F.lit(1)), F.lit(default)))
     return F.struct(scene.alias("scene"), subtype.alias("subtype"))
+
+
+def named_as(value: Column, aliases: dict[str, str]) -> Column:
+    """The name that a trimmed, lower-cased alias stands for; any other value, null too, is an error."""
+    names = F.create_map(*[F.lit(x) for pair in aliases.items() for x in pair])
+    unknown = F.raise_error(F.concat(F.lit("unknown name: "), F.coalesce(value, F.lit("null"))))
+    return F.coalesce(F.try_element_at(names, F.coalesce(F.lower(F.trim(value)), F.lit(""))), unknown.cast("string"))
+
+
+def budget_summary(rows: DataFrame, budget: Column, rate: Column, current_tokens: int, cameras: int) -> DataFrame:
+    """One row: how many rows, their least and most history frames and rates, and how many budgets don't hold the current frame.
+
+    Frames are 0 and rates infinite where there are no rows.
+    """
+    frames = capacity(budget, current_tokens, cameras)
+    none = F.lit(float("inf"))
+    return rows.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.min(frames), F.lit(0)).alias("frames_min"),
+        F.coalesce(F.max(frames), F.lit(0)).alias("frames_max"),
+        F.count_if(budget < frame_cost(current_tokens, cameras)).alias("infeasible"),
+        F.coalesce(F.min(rate), none).alias("k_min"),
+        F.coalesce(F.max(rate), none).alias("k_max"),
+    )
+
+
+def padding_counts(rows: DataFrame, mask: Column) -> DataFrame:
+    """One row: the frames with a padded step, and the padded steps of all; a null mask has none."""
+    padded = F.coalesce(F.size(F.filter(mask, lambda m: m)), F.lit(0))
+    padded = F.when(mask.isNull(), F.lit(0)).otherwise(padded)
+    return rows.agg(F.count_if(padded > 0).alias("frames_padded"), F.coalesce(F.sum(padded), F.lit(0)).alias("steps_padded"))

@@ -67,3 +67,20 @@ def scenario_key(t: Tables) -> DataFrame:
 def scene_subtype(t: Tables) -> DataFrame:
     s = records.scene_and_subtype(F.regexp_replace("url", "^https?://", ""), "open")
     return t.pages.select("page_id", s.alias("s")).select("page_id", "s.*")
+
+
+@query("SELECT o_orderkey, CASE lower(o_orderstatus) WHEN 'o' THEN 'open' WHEN 'f' THEN 'done' ELSE 'open' END AS status FROM orders")
+def status_alias(t: Tables) -> DataFrame:
+    return t.orders.select("o_orderkey", records.named_as(F.concat(F.lit(" "), "o_orderstatus"), {"o": "open", "f": "done", "p": "open"}).alias("status"))
+
+
+@query("SELECT count(*) AS rows, CAST(min(f) AS BIGINT) AS frames_min, CAST(max(f) AS BIGINT) AS frames_max, count(*) FILTER (b < 2 * (64 + 1 + 3)) AS infeasible, min(k) AS k_min, max(k) AS k_max FROM (SELECT p_size * 20 AS b, p_retailprice / 1000.0::DOUBLE AS k, greatest(0, floor((p_size * 20 - 2 * (64 + 1 + 3)) / (2.0 * (4 + 1 + 3)))) AS f FROM part)")
+def budget_summary(t: Tables) -> DataFrame:
+    return records.budget_summary(t.part, F.col("p_size") * 20, F.col("p_retailprice").cast("double") / 1000, 64, 2)
+
+
+@query(f"WITH {POSES}, n AS (SELECT greatest(0, frame + 5 - (count(*) OVER (PARTITION BY episode) - 1)) AS padded FROM poses) SELECT count(*) FILTER (padded > 0) AS frames_padded, CAST(sum(padded) AS BIGINT) AS steps_padded FROM n")
+def padding_counts(t: Tables) -> DataFrame:
+    last = t.poses.groupBy("episode").agg(F.max("frame").alias("last"))
+    ahead = F.transform(F.sequence(F.lit(1), F.lit(5)), lambda j: F.col("frame") + j > F.col("last"))
+    return records.padding_counts(t.poses.join(last, "episode"), ahead)
