@@ -220,9 +220,9 @@ def test_names_budgets_and_padding_of_edge_rows(spark):
         with pytest.raises(Exception, match="unknown name"):
             spark.createDataFrame([(bad,)], "v string").select(records.named_as(F.col("v"), names).alias("n")).collect()
 
-    budgets = spark.createDataFrame([(135, 0.5), (136, 1.0), (151, 2.0), (152, 3.0)], "b int, k double")
-    summary = lambda d: tuple(records.budget_summary(d, F.col("b"), F.col("k"), 64, 2).first())
-    assert summary(budgets) == (4, 0, 1, 1, 0.5, 3.0)
+    budgets = spark.createDataFrame([(0, 0, 0.0), (10, 1, 1e4), (10, 2, 4.0), (3, 5, 0.5)], "n long, target long, k double")
+    summary = lambda d: tuple(records.budget_summary(d, F.col("n"), F.col("target"), F.col("k")).first())
+    assert summary(budgets) == (4, 0, 10, 1, 0.0, 1e4)
     assert summary(budgets.limit(0)) == (0, 0, 0, 0, float("inf"), float("inf"))
 
     masks = spark.createDataFrame([([True, None, False],), (None,), ([],), ([True, True],)], "m array<boolean>")

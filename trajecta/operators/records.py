@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions.hashing import stable_rank
 from trajecta.operators.chains import dense_numbers
-from trajecta.operators.history import capacity, frame_cost
 from trajecta.operators.sampling import even_positions
 
 
@@ -105,18 +104,18 @@ def named_as(value: Column, aliases: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(names, F.coalesce(F.lower(F.trim(value)), F.lit(""))), unknown.cast("string"))
 
 
-def budget_summary(rows: DataFrame, budget: Column, rate: Column, current_tokens: int, cameras: int) -> DataFrame:
-    """One row: how many rows, their least and most history frames and rates, and how many budgets don't hold the current frame.
+def budget_summary(rows: DataFrame, history: Column, target: Column, rate: Column, floor: float = 0.1) -> DataFrame:
+    """One row: how many rows, their least and most history frames and rates, and how many budgets no rate can meet.
 
-    Frames are 0 and rates infinite where there are no rows.
+    A budget can't be met where even the floor of the keep probability keeps ``target`` frames or
+    more. Frames are 0 and rates infinite where there are no rows.
     """
-    frames = capacity(budget, current_tokens, cameras)
     none = F.lit(float("inf"))
     return rows.agg(
         F.count("*").alias("rows"),
-        F.coalesce(F.min(frames), F.lit(0)).alias("frames_min"),
-        F.coalesce(F.max(frames), F.lit(0)).alias("frames_max"),
-        F.count_if(budget < frame_cost(current_tokens, cameras)).alias("infeasible"),
+        F.coalesce(F.min(history), F.lit(0)).alias("frames_min"),
+        F.coalesce(F.max(history), F.lit(0)).alias("frames_max"),
+        F.count_if((history > 0) & (F.least(history, target) <= history * F.lit(floor))).alias("infeasible"),
         F.coalesce(F.min(rate), none).alias("k_min"),
         F.coalesce(F.max(rate), none).alias("k_max"),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajecta.operators import records
+from trajecta.operators import history, records
 from trajecta.plans.registry import FRAMES, POSES, Tables, query, r6, wrap_sql
 
 
@@ -74,9 +74,10 @@ def status_alias(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", records.named_as(F.concat(F.lit(" "), "o_orderstatus"), {"o": "open", "f": "done", "p": "open"}).alias("status"))
 
 
-@query("SELECT count(*) AS rows, CAST(min(f) AS BIGINT) AS frames_min, CAST(max(f) AS BIGINT) AS frames_max, count(*) FILTER (b < 2 * (64 + 1 + 3)) AS infeasible, min(k) AS k_min, max(k) AS k_max FROM (SELECT p_size * 20 AS b, p_retailprice / 1000.0::DOUBLE AS k, greatest(0, floor((p_size * 20 - 2 * (64 + 1 + 3)) / (2.0 * (4 + 1 + 3)))) AS f FROM part)")
+@query(f"WITH {FRAMES} SELECT count(*) AS rows, min(frame) AS frames_min, max(frame) AS frames_max, count(*) FILTER (frame > 0 AND least(frame, (152 - 2 * (64 + 1 + 3)) // (2 * (4 + 1 + 3))) <= frame * 0.1::DOUBLE) AS infeasible, min(value) AS k_min, max(value) AS k_max FROM frames")
 def budget_summary(t: Tables) -> DataFrame:
-    return records.budget_summary(t.part, F.col("p_size") * 20, F.col("p_retailprice").cast("double") / 1000, 64, 2)
+    target = history.capacity(F.lit(152), 64, 2)
+    return records.budget_summary(t.frames, F.col("frame"), target, F.col("value"))
 
 
 @query(f"WITH {POSES}, n AS (SELECT greatest(0, frame + 5 - (count(*) OVER (PARTITION BY episode) - 1)) AS padded FROM poses) SELECT count(*) FILTER (padded > 0) AS frames_padded, CAST(sum(padded) AS BIGINT) AS steps_padded FROM n")
