@@ -44,9 +44,12 @@ def test_capacity(spark):
     assert spark.range(1).select(history.capacity(F.lit(1024), 64, 1, wrapper_tokens=0)).first()[0] == 191
 
 
-def test_solved_rate_hits_its_target():
-    k = history.solve_rate(200, 40)
-    assert sum(0.1 + 0.9 * math.exp(k * (t - 200) / 200) for t in range(200)) == pytest.approx(40, rel=1e-6)
+def test_solved_rate_hits_its_target(spark):
+    rows = spark.createDataFrame([(200, 40.0), (200, 20.0), (200, 200.0), (0, 0.0), (200, 199.0)], "n int, target double")
+    k = [r.k for r in rows.select(history.solve_rate(F.col("n"), F.col("target")).alias("k")).collect()]
+    assert k[1:4] == [1e6, 0, 0]
+    for rate, target in ((k[0], 40), (k[4], 199)):
+        assert 200 * (0.9 * (1 - math.exp(-rate)) / rate + 0.1) == pytest.approx(target, rel=1e-9)
 
 
 def test_formulas_by_hand(spark):
