@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_model, mixing, pii, quality, rollup, simhash, tokens, toxicity
+from . import decontaminate, hard_negatives, html_extract, language_model, mixing, packing, pii, quality, rollup, simhash, tokens, toxicity, vector_codes
 from .store import fresh_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -66,7 +66,20 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.report(_table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(_table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.report(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pii, op2_token_output, op3_toxicity, op4_language_model, op5_mixing, op6_decontamination, op7_quality_rules, op8_token_counts, op9_simhash, op10_html_extraction)
+    f.__name__: f for f in (op1_pii, op2_token_output, op3_toxicity, op4_language_model, op5_mixing, op6_decontamination, op7_quality_rules, op8_token_counts, op9_simhash, op10_html_extraction, op11_vector_codes, op12_hard_negatives, op13_packing)
 }
-SQL = {"op6_decontamination": decontaminate.SQL, "op7_quality_rules": quality.SQL, "op8_token_counts": rollup.SQL}
+SQL = {"op6_decontamination": decontaminate.SQL, "op7_quality_rules": quality.SQL, "op8_token_counts": rollup.SQL, "op11_vector_codes": vector_codes.SQL, "op12_hard_negatives": hard_negatives.SQL}

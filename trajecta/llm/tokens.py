@@ -55,7 +55,7 @@ _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-
 _SPACE = re.compile(r"[\x20\t\n\r\x0b\x0c]+")
 
 
-def _byte_alphabet() -> list[str]:
+def byte_alphabet() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     other = iter(range(0x100, 0x200))
@@ -80,7 +80,7 @@ class Encoder(dict):
         self._pieces = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
         self._closes = np.zeros(max(rules["model"]["vocab"].values()) + 1, bool)
         self._closes[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
-        self._alphabet = {b: c for b, c in enumerate(_byte_alphabet()) if b != 0x20}
+        self._alphabet = {b: c for b, c in enumerate(byte_alphabet()) if b != 0x20}
 
     def _split(self, text: str) -> list[str]:
         if "<|" not in text and _PLAIN.fullmatch(text):
