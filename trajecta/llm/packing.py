@@ -21,10 +21,12 @@ encoded in one task. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import struct
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +47,20 @@ CACHED_CHARACTERS = 64
 #: White space of Unicode.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-#: What libraries don't agree on as white space, and the added token's spelling: such texts are encoded whole.
-_WHOLE = re.compile(r"[\x1c-\x1f\u180e\u200b\ufeff]|<\|endoftext\|>")
+#: What libraries don't agree on as white space, and the start of the added token's spelling: such texts are encoded whole.
+_WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff", "<|")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
-#: Words of these characters only are split here by the vocabulary file's own rule; others go through its whole pipeline.
-_PLAIN = re.compile(r"[\t-\r\x20-\x7EÀ-ÖØ-öø-ÿŒœ“”‘’–—…«»€£¿¡]*")
-#: That rule over those characters; ``\x01`` stands between words.
+#: Any other character sends a word through the vocabulary's whole pipeline; the others' pieces are cut here by its own rule.
+_ODD = re.compile(r"[^\x01\t-\r\x20-\x7EÀ-ÖØ-öø-ÿŒœ“”‘’–—…«»€£¿¡]")
+#: That rule; ``\x01`` stands between words.
 _PIECE = re.compile(rf"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^\x01\t-\r {_LETTER}0-9]+|[\t-\r ]+(?![^\x01\t-\r ])|[\t-\r ]+")
 
 
 class WordEncoder(dict):
     """The ids of words as little-endian 32-bit integers, each word encoded once while it is in the cache.
 
-    The pieces of all new plain words of a slice go to the library's BPE model in one call. A piece
-    of its own, a control character that no plain word has, closes each word.
+    The pieces of all new plain words of a slice go to the library's BPE model in one call; the
+    bytes that ids stand for tell where each word ends.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -68,41 +70,49 @@ class WordEncoder(dict):
         rules = json.loads(tokenizer_json)
         self._whole = Tokenizer.from_str(tokenizer_json)
         self._pieces = Tokenizer.from_str(json.dumps(rules | {"pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}))
-        self._alphabet = dict(enumerate(byte_alphabet()))
-        self._close = rules["model"]["vocab"][self._alphabet[1]]
-        self._alphabet[0] = " "
+        self._alphabet = dict(enumerate(byte_alphabet())) | {0: " ", 1: ""}
+        self._size = np.zeros(max(rules["model"]["vocab"].values()) + 1, np.int64)
+        for token, i in rules["model"]["vocab"].items():
+            self._size[i] = len(token)  # a character for each byte
 
     def _learn(self, new: list[str]) -> None:
-        plain = [x for x in new if _PLAIN.fullmatch(x) and "<|" not in x]
-        pieces = _PIECE.findall("\x01".join(plain) + "\x01")
-        spelled = "\0".join(pieces).encode().decode("latin-1").translate(self._alphabet)
-        ids = np.array(self._pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
-        ends = 4 * np.flatnonzero(ids == self._close)
-        if plain:
-            data, start = ids.tobytes(), 0
-            for word, end in zip(plain, ends.tolist(), strict=True):
-                self[word] = data[start:end]
-                start = end + 4
-        if len(plain) < len(new):
-            odd = [x for x in new if x not in self]
+        joined, plain = "\x01".join(new), new
+        if "\x01" in new or _ODD.search(joined) or joined.count("\x01") >= len(new):
+            plain = [x for x in new if not _ODD.search(x) and "\x01" not in x]
+            joined = "\x01".join(plain)
+            odd = list(set(new).difference(plain))
             for word, x in zip(odd, self._whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
                 self[word] = np.array(x.ids, "<u4").tobytes()
+        if not plain:
+            return
+        spelled = "\0".join(_PIECE.findall(joined)).encode().decode("latin-1").translate(self._alphabet)
+        ids = np.array(self._pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
+        bytes_of = np.fromiter((len(x.encode()) for x in plain), np.int64, len(plain))
+        ends = np.searchsorted(np.cumsum(self._size[ids]), np.cumsum(bytes_of)) + 1
+        data, start = ids.tobytes(), 0
+        for word, end in zip(plain, (4 * ends).tolist(), strict=True):
+            self[word] = data[start:end]
+            start = end
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
         """The ids of each text, and the end id."""
         decoded = [x.decode("utf-8", "replace") for x in texts]
-        split = [[x] if _WHOLE.search(x) else _WORD.findall(x) for x in decoded]
-        wanted = set().union(*split)
+        words = [_WORD.findall(x) for x in decoded]
+        special = [i for i, x in enumerate(decoded) if any(c in x for c in _WHOLE)]
+        for i in special:
+            words[i] = []
+        wanted = set(chain.from_iterable(words))
         if len(self) + len(wanted) > CACHE_WORDS:
             self.clear()
-        new = [x for x in wanted if x not in self]
+        new = list(wanted.difference(self))
         if new:
             self._learn(new)
-        end = struct.pack("<I", end_id)
-        out = [b"".join(map(self.__getitem__, words)) + end for words in split]
-        for x in new:
-            if len(x) > CACHED_CHARACTERS:
-                del self[x]
+        end, get = struct.pack("<I", end_id), self.__getitem__
+        out = [b"".join(map(get, x)) + end for x in words]
+        for i in special:
+            out[i] = np.array(self._whole.encode(decoded[i], add_special_tokens=False).ids, "<u4").tobytes() + end
+        for x in [x for x in new if len(x) > CACHED_CHARACTERS]:
+            del self[x]
         return out
 
 
@@ -112,6 +122,23 @@ def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     return [first] * (first > 0) + [capacity] * (n // capacity)
 
 
+def _pieces(s: T.Slice, encoder: WordEncoder, part: int, seen: list[int], end_id: int, capacity: int) -> pa.RecordBatch:
+    """The pieces of a slice's documents; ``seen`` counts the task's by length."""
+    names, pieces, starts, lengths, ids, places = [], [], [], [], [], []
+    for name, data in zip(s.batch.column(0).to_pylist(), encoder.encode([s.text_bytes(i) for i in range(s.n)], end_id), strict=True):
+        start = 0
+        for k, n in enumerate(cut(len(data) // 4, capacity)):
+            names.append(name)
+            pieces.append(k)
+            starts.append(start)
+            lengths.append(n)
+            ids.append(data[4 * start : 4 * (start + n)])
+            places.append(seen[n])
+            seen[n] += 1
+            start += n
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(names), pa.int32()), pa.array(places, pa.int64())], ["doc_id", "piece", "start", "length", "ids", "part", "place"])
+
+
 def write_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids, part, place) of ``docs(doc_id, text)``: ``ids`` are little-endian 32-bit integers, ``place`` the rank by length in task ``part``."""
     spark = docs.sparkSession
@@ -120,20 +147,12 @@ def write_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, cap
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = WordEncoder(model.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for s in T.slices(batches):
-            names, pieces, starts, lengths, ids, places = [], [], [], [], [], []
-            for name, data in zip(s.batch.column(0).to_pylist(), encoder.encode([s.text_bytes(i) for i in range(s.n)], end_id), strict=True):
-                start = 0
-                for k, n in enumerate(cut(len(data) // 4, capacity)):
-                    names.append(name)
-                    pieces.append(k)
-                    starts.append(start)
-                    lengths.append(n)
-                    ids.append(data[4 * start : 4 * (start + n)])
-                    places.append(seen[n])
-                    seen[n] += 1
-                    start += n
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(ids, pa.binary()), pa.array([part] * len(names), pa.int32()), pa.array(places, pa.int64())], ["doc_id", "piece", "start", "length", "ids", "part", "place"])
+        gc.disable()  # a slice is millions of strings and no cycle
+        try:
+            for s in T.slices(batches):
+                yield _pieces(s, encoder, part, seen, end_id, capacity)
+        finally:
+            gc.enable()
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     with arrow_rows(spark, BATCH_ROWS):
