@@ -56,9 +56,17 @@ def dense_numbers(rows: DataFrame, order: list[str], name: str = "number") -> Da
 
 def running_total(rows: DataFrame, order: list[str], size: Column, name: str) -> DataFrame:
     """Adds the sum of ``size`` over all earlier rows in order: sums inside sorted ranges, plus the sums of the ranges before."""
-    placed = _cut(rows.withColumn("_size", size).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    return running_totals(rows, order, {name: size})
+
+
+def running_totals(rows: DataFrame, order: list[str], sizes: dict[str, Column]) -> DataFrame:
+    """Adds, by name, the sums of several sizes over all earlier rows in order; rows come out in sorted ranges."""
+    own = {f"_size{i}": size for i, size in enumerate(sizes.values())}
+    placed = _cut(rows.withColumns(own).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    starts = placed.groupBy("_part").agg(F.sum("_size").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    total = (F.col("_start") + F.coalesce(F.col("_inside"), F.lit(0))).cast("bigint")
-    return placed.withColumn("_inside", F.sum("_size").over(inside)).join(F.broadcast(starts), "_part").withColumn(name, total).drop("_part", "_inside", "_start", "_size")
+    sums = placed.groupBy("_part").agg(*[F.sum(c).alias(c) for c in own])
+    starts = sums.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_start") for c in own])
+    within = placed.withColumns({f"{c}_inside": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in own}).join(F.broadcast(starts), "_part")
+    found = within.withColumns({name: (F.col(f"{c}_start") + F.col(f"{c}_inside")).cast("bigint") for name, c in zip(sizes, own, strict=True)})
+    return found.drop("_part", *own, *[f"{c}_{x}" for c in own for x in ("start", "inside")])
