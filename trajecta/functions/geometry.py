@@ -37,6 +37,12 @@ def clean_number(v: Column, tiny: float = 1e-7) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(None)).when(F.abs(v) < tiny, F.lit(0.0)).otherwise(v)
 
 
+def finite_number(v: Column, tiny: float = 1e-7) -> Column:
+    """Numbers next to zero are zero; one that isn't finite is an error."""
+    odd = F.raise_error(F.concat(F.lit("a number must be finite, not "), v.cast("string"))).cast("double")
+    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), odd).when(F.abs(v) < tiny, F.lit(0.0)).otherwise(v)
+
+
 def quaternion_yaw(w: Column, x: Column, y: Column, z: Column) -> Column:
     return F.atan2(2 * (w * z + x * y), 1 - 2 * (y * y + z * z))
 

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions.hashing import stable_rank
 from trajecta.operators.chains import dense_numbers
-from trajecta.operators.sampling import even_positions
 
 
 def has_prefix(value: Column, prefixes: list[str]) -> Column:
@@ -53,6 +52,19 @@ def first_frame_offsets(episodes: DataFrame, video: DataFrame, cameras: list[str
     return asked.join(there, ["index", "camera"], "left").select("episode", "camera", F.coalesce("offset", missing.cast("double")).alias("offset"))
 
 
+#: Frames at either end of a trajectory that no anchor stands on.
+ANCHOR_MARGINS = (4, 8)
+
+
+def anchor_frames(size: Column, count: Column) -> Column:
+    """``count`` frames spread evenly between the margins, halves rounded to even; the middle for one. Too short a trajectory is an error."""
+    low, high = F.lit(ANCHOR_MARGINS[0]).cast("bigint"), size.cast("bigint") - 1 - ANCHOR_MARGINS[1]
+    room = F.greatest(high - low + 1, F.lit(0))
+    short = F.raise_error(F.concat(F.lit("a trajectory of "), size.cast("string"), F.lit(" frames has room for "), room.cast("string"), F.lit(" anchors, not "), count.cast("string"))).cast("array<bigint>")
+    spread = F.transform(F.sequence(F.lit(0).cast("bigint"), F.greatest(count, F.lit(1)).cast("bigint") - 1), lambda i: F.bround(low + i * (high - low) / F.greatest(count - 1, F.lit(1)).cast("double")).cast("bigint"))
+    return F.when(count <= 0, F.array().cast("array<bigint>")).when(room < count, short).when(count == 1, F.array(F.floor((low + high) / 2).cast("bigint"))).otherwise(spread)
+
+
 def paired_anchors(parents: DataFrame, key: str, size: str, count: int, kinds: list[str], seed: str) -> DataFrame:
     """(key, kind, frame): ``count`` anchors shared out over all parents, evenly spaced in each, the same for every kind of trace.
 
@@ -64,7 +76,7 @@ def paired_anchors(parents: DataFrame, key: str, size: str, count: int, kinds: l
     base, extras = divmod(count, n) if n else (0, 0)
     ranked = dense_numbers(parents.select(key, size).withColumn("_h", stable_rank(seed, F.col(key))), ["_h"], "_r")
     own = ranked.withColumn("_n", F.lit(base) + (F.col("_r") < extras).cast("int"))
-    frames = own.select(key, F.explode(even_positions(F.col(size), F.least(F.col("_n"), F.col(size)))).alias("frame"))
+    frames = own.select(key, F.explode(anchor_frames(F.col(size), F.col("_n"))).alias("frame"))
     return frames.select(key, F.explode(F.array(*map(F.lit, kinds))).alias("kind"), "frame")
 
 
@@ -73,9 +85,23 @@ def video_order(refs: DataFrame, columns: list[str], name: str = "position") ->
     return dense_numbers(refs, columns, name)
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """The old rows with those of ``new`` in place of equal keys, and its other rows added."""
-    return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str, defaults: dict[str, Column] | None = None) -> DataFrame:
+    """The old rows, with the columns of ``new`` in place of theirs where keys are equal, and its other rows added.
+
+    Columns that ``new`` lacks stay as they are; in an added row they are ``defaults`` or null. Of
+    equal keys in ``new`` the last by ``order`` counts, whose column stays out of the result.
+    Keys of ``old`` must be unique.
+    """
+    given = [c for c in new.columns if c not in keys and c != order]
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(F.lit(True).alias("_there"), *given), order).alias("_new"))
+    both = old.withColumn("_old", F.lit(True)).join(last, keys, "full")
+    def column(c: str) -> Column:
+        if c in given:
+            return F.when(F.col("_new._there"), F.col(f"_new.{c}")).otherwise(F.col(c) if c in old.columns else F.lit(None))
+        return F.when(F.col("_old").isNull(), (defaults or {}).get(c, F.lit(None))).otherwise(F.col(c))
+
+    names = [*old.columns, *[c for c in given if c not in old.columns]]
+    return both.select(*[F.col(c) if c in keys else column(c).alias(c) for c in names])
 
 
 def work_remaining(groups: DataFrame, jobs: DataFrame, key: str, open_: Column) -> DataFrame:
@@ -85,8 +111,10 @@ def work_remaining(groups: DataFrame, jobs: DataFrame, key: str, open_: Column)
 
 
 def group_key(*parts: Column) -> Column:
-    """Several values as one compact JSON list."""
-    return F.to_json(F.array(*[p.cast("string") for p in parts]))
+    """Several values as one compact JSON list of ASCII: numbers and nulls as they are, other characters as UTF-16 escapes."""
+    text = F.concat(F.lit("["), F.concat_ws(",", *[F.regexp_extract(F.to_json(F.array(p)), r"(?s)^\[(.*)\]$", 1) for p in parts]), F.lit("]"))
+    escaped = F.transform(F.split(text, ""), lambda c: F.when(F.octet_length(c) == 1, c).otherwise(F.regexp_replace(F.lower(F.hex(F.encode(c, "UTF-16BE"))), "(.{4})", r"\\u$1")))
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(F.array_join(escaped, ""))
 
 
 def scene_and_subtype(path: Column, default: str) -> Column:

@@ -55,20 +55,21 @@ def past_waypoints(poses: DataFrame, history: int) -> DataFrame:
     return df.select("episode", "frame", F.col("s.back").alias("back"), d["dx"].alias("dx"), d["dy"].alias("dy"))
 
 
-def dynamics(poses: DataFrame, seconds: str, tiny: float = 1e-12) -> DataFrame:
+def dynamics(poses: DataFrame, seconds: str, tiny: float = 1e-7) -> DataFrame:
     """Adds ``velocity`` (forward, in the body's frame), ``yaw_rate`` and ``acceleration``.
 
     Backward differences over time steps of at least a microsecond; an episode's first row takes the
-    step after it, and all are zero for a single frame. Numbers next to zero become zero.
+    step after it, and all are zero for a single frame. Numbers next to zero become zero; any that
+    isn't finite is an error.
     """
     w = _by("episode", "frame")
     own = G.pose(F.col("x"), F.col("y"), F.col("z"), F.col("yaw"))
     d = poses.withColumn("_d", G.body_delta(F.lag(own).over(w), own)).withColumn("_t", F.greatest(F.col(seconds) - F.lag(seconds).over(w), F.lit(1e-6)))
     for name, part in (("velocity", "dx"), ("yaw_rate", "dyaw")):
         rate = F.col("_d")[part] / F.col("_t")
-        d = d.withColumn(name, G.clean_number(F.coalesce(rate, F.lead(rate).over(w), F.lit(0.0)), tiny))
+        d = d.withColumn(name, G.finite_number(F.coalesce(rate, F.lead(rate).over(w), F.lit(0.0)), tiny))
     change = (F.col("velocity") - F.lag("velocity").over(w)) / F.col("_t")
-    return d.withColumn("acceleration", G.clean_number(F.coalesce(change, F.lit(0.0)), tiny)).drop("_d", "_t")
+    return d.withColumn("acceleration", G.finite_number(F.coalesce(change, F.lit(0.0)), tiny)).drop("_d", "_t")
 
 
 def running_offset(df: DataFrame, key: list[str], order: list[str], available: Column, name: str = "offset") -> DataFrame:

@@ -34,10 +34,10 @@ def video_offsets(t: Tables) -> DataFrame:
     return records.first_frame_offsets(first, video, ["front", "rear"], 5)
 
 
-@query("WITH p AS (SELECT p_partkey, p_size, row_number() OVER (ORDER BY sha256('s7:' || p_partkey)) - 1 AS r, count(*) OVER () AS n FROM part), k AS (SELECT *, least(p_size, 5000 // n + CASE WHEN r < 5000 % n THEN 1 ELSE 0 END) AS c FROM p) SELECT DISTINCT p_partkey, kind, CAST(CASE WHEN c = 1 THEN 0 ELSE round_even(i * (p_size - 1) / greatest(c - 1, 1)::DOUBLE, 0) END AS BIGINT) AS frame FROM k, range(0, 60) q(i), (VALUES ('original'), ('augmented')) v(kind) WHERE i < c")
+@query("WITH p AS (SELECT p_partkey, p_size + 40 AS size, row_number() OVER (ORDER BY sha256('s7:' || p_partkey)) - 1 AS r, count(*) OVER () AS n FROM part), k AS (SELECT *, 5000 // n + CASE WHEN r < 5000 % n THEN 1 ELSE 0 END AS c, size - 9 AS high FROM p) SELECT p_partkey, kind, CAST(CASE WHEN c = 1 THEN (4 + high) // 2 ELSE round_even(4 + i * (high - 4) / greatest(c - 1, 1)::DOUBLE, 0) END AS BIGINT) AS frame FROM k, range(0, 60) q(i), (VALUES ('original'), ('augmented')) v(kind) WHERE i < c")
 def paired_anchors(t: Tables) -> DataFrame:
-    parents = t.part.select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"))
-    return records.paired_anchors(parents, "p_partkey", "p_size", 5000, ["original", "augmented"], "s7")
+    parents = t.part.select("p_partkey", (F.col("p_size") + 40).cast("bigint").alias("size"))
+    return records.paired_anchors(parents, "p_partkey", "size", 5000, ["original", "augmented"], "s7")
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (ORDER BY l_returnflag, l_suppkey, l_partkey, l_linenumber, l_orderkey) - 1 AS position FROM lineitem")
@@ -46,10 +46,12 @@ def video_order(t: Tables) -> DataFrame:
     return records.video_order(refs, ["l_returnflag", "l_suppkey", "l_partkey", "l_linenumber", "l_orderkey"]).drop("l_returnflag")
 
 
-@query("SELECT c_custkey AS k, c_nationkey AS scene FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier) UNION ALL SELECT s_suppkey, s_nationkey FROM supplier")
+@query("WITH o AS (SELECT c_custkey AS k, c_nationkey AS scene, c_mktsegment AS status, c_custkey % 3 AS attempts FROM customer), n AS (SELECT s_suppkey * 3 % 1700 AS k, s_nationkey AS scene FROM supplier QUALIFY row_number() OVER (PARTITION BY s_suppkey * 3 % 1700 ORDER BY s_suppkey DESC) = 1) SELECT coalesce(o.k, n.k) AS k, CASE WHEN n.k IS NULL THEN o.scene ELSE n.scene END AS scene, CASE WHEN o.k IS NULL THEN 'pending' ELSE o.status END AS status, CASE WHEN o.k IS NULL THEN 0 ELSE o.attempts END AS attempts FROM o FULL JOIN n ON o.k = n.k")
 def job_upsert(t: Tables) -> DataFrame:
-    old = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("scene"))
-    return records.upsert(old, t.supplier.select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("scene")), ["k"])
+    """Jobs added again keep their status and attempts; only the scene is the new one."""
+    old = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("scene"), F.col("c_mktsegment").alias("status"), (F.col("c_custkey") % 3).alias("attempts"))
+    new = t.supplier.select((F.col("s_suppkey") * 3 % 1700).alias("k"), F.col("s_nationkey").alias("scene"), F.col("s_suppkey").alias("at"))
+    return records.upsert(old, new, ["k"], "at", {"status": F.lit("pending"), "attempts": F.lit(0)})
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS remaining FROM customer")
@@ -58,9 +60,10 @@ def job_remaining(t: Tables) -> DataFrame:
     return records.work_remaining(t.customer.select("c_custkey"), jobs, "c_custkey", F.col("o_orderstatus") == "O")
 
 
-@query("SELECT o_orderkey, '[\"' || o_orderpriority || '\",\"' || o_custkey || '\"]' AS key FROM orders")
+@query("SELECT o_orderkey, '[\"' || o_orderpriority || '\\u00e9\",' || coalesce(CAST(nullif(o_custkey % 3, 0) AS VARCHAR), 'null') || ',\"\\ud83d\\ude00' || o_orderstatus || '\"]' AS key FROM orders")
 def scenario_key(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", records.group_key(F.col("o_orderpriority"), F.col("o_custkey")).alias("key"))
+    number = F.nullif(F.col("o_custkey") % 3, F.lit(0))
+    return t.orders.select("o_orderkey", records.group_key(F.concat("o_orderpriority", F.lit("é")), number, F.concat(F.lit("😀"), "o_orderstatus")).alias("key"))
 
 
 @query("WITH p AS (SELECT page_id, string_split(regexp_replace(url, '^https?://', ''), '/') AS s FROM pages) SELECT page_id, CASE WHEN s[1] <> '' THEN s[1] ELSE 'open' END AS scene, CASE WHEN len(s) >= 3 AND s[2] = 'astar_data' THEN s[3] ELSE coalesce(s[2], 'open') END AS subtype FROM p")
