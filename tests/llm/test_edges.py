@@ -158,3 +158,27 @@ def test_unclosed_markup_is_linear_and_stays_out_of_the_text():
         began = time.time()
         text = html_extract.extract(body + junk * (300_000 // len(junk)), weights)
         assert time.time() - began < 20 and set(text) <= set(body) - set("<>/")
+
+
+@pytest.mark.parametrize("size", [10, 4096, 4097, 1_000_000])
+def test_no_attribute_reaches_the_text(size):
+    weights, body = html_extract.train(), "<article><p>" + "A sentence of the main text, as it is. " * 6 + "</p>"
+    want = html_extract.extract(body, weights)
+    long = "x" * size + " > leaked <b>words</b> 'and' "
+    for attributes in (f'title="{long}"', f"title='{long.replace(chr(39), '')}'", f'title = "{long}" data-x=y"z', f'onclick="{long}" srcdoc="<p>{long}</p>"', f"{'x' * size}"):
+        assert html_extract.extract(f"{body}<p {attributes}>Then the article goes on with its own words here.</p>", weights) == want + "\nThen the article goes on with its own words here.", attributes[-60:]
+        assert html_extract.extract(f"{body}<script {attributes}>if (a > b) leaked();</script>", weights) == want
+
+
+def test_quotes_outside_values_open_nothing():
+    weights = html_extract.train()
+    page = """<article><p>It's the first part of the article, which isn't long.</p><p class=a' id=b">It's the second part of the article, "as said".</p></article>"""
+    assert html_extract.extract(page, weights) == """It's the first part of the article, which isn't long.\nIt's the second part of the article, "as said"."""
+
+
+def test_quotes_without_partner_are_linear():
+    weights, body = html_extract.train(), "<article><p>" + "A sentence of the main text, as it is. " * 6 + "</p>"
+    for junk in ('<a x="', "<a x='", "<a x=\"'", "<a =", "<a x = ", '<script x="'):
+        began = time.time()
+        text = html_extract.extract(body + junk * (300_000 // len(junk)), weights)
+        assert time.time() - began < 20 and set(text) <= set(body) - set("<>/")

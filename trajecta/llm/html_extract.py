@@ -30,10 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A tag that isn't closed ends at the next "<" or the page's end; a quote without a partner in ``_VALUE``
-#: characters is one by itself. So every character is looked at a bounded number of times.
-_VALUE = 4096
-_ATTRIBUTES = rf"""(?:[^<>"']++|"[^"]{{0,{_VALUE}}}+"|'[^']{{0,{_VALUE}}}+'|["'])*+"""
+#: A quote opens a value only after "="; a value ends at its quote however far that is. A quote whose partner
+#: isn't in the rest of the page is one by itself: no other like it follows, so the rest is looked through once.
+#: A tag that isn't closed ends at the next "<" or the page's end.
+_ATTRIBUTES = r"""(?:[^<>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|["'=])*+"""
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)"
     rf"|<(script|style|noscript|template|title|svg|iframe|object|canvas|textarea|select)\b{_ATTRIBUTES}>.*?(?:</\1\s*+>|\Z)"
