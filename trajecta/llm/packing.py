@@ -21,6 +21,7 @@ encoded in one task. Empty tables give empty results; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import gc
 import json
 import re
@@ -85,10 +86,11 @@ class WordEncoder(dict):
                 self[word] = np.array(x.ids, "<u4").tobytes()
         if not plain:
             return
+        raw = (joined + "\x01").encode()
         spelled = "\0".join(_PIECE.findall(joined)).encode().decode("latin-1").translate(self._alphabet)
         ids = np.array(self._pieces.encode_batch_fast([spelled], add_special_tokens=False)[0].ids, "<u4")
-        bytes_of = np.fromiter((len(x.encode()) for x in plain), np.int64, len(plain))
-        ends = np.searchsorted(np.cumsum(self._size[ids]), np.cumsum(bytes_of)) + 1
+        close = np.flatnonzero(np.frombuffer(raw, np.uint8) == 1)
+        ends = np.searchsorted(np.cumsum(self._size[ids]), close - np.arange(len(close))) + 1
         data, start = ids.tobytes(), 0
         for word, end in zip(plain, (4 * ends).tolist(), strict=True):
             self[word] = data[start:end]
@@ -116,6 +118,12 @@ class WordEncoder(dict):
         return out
 
 
+@functools.lru_cache(maxsize=1)
+def word_encoder(tokenizer_json: str) -> WordEncoder:
+    """A worker's encoder: its later tasks find the words of the earlier ones."""
+    return WordEncoder(tokenizer_json)
+
+
 def cut(n: int, capacity: int = CAPACITY) -> list[int]:
     """The lengths of a document's pieces."""
     first = n % capacity
@@ -146,7 +154,7 @@ def write_pieces(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, cap
         model = spark.sparkContext.broadcast(f.read())  # one vocabulary: its size doesn't depend on the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seen = WordEncoder(model.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        encoder, part, seen = word_encoder(model.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
         gc.disable()  # a slice is millions of strings and no cycle
         try:
             for s in T.slices(batches):
