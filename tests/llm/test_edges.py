@@ -182,3 +182,10 @@ def test_quotes_without_partner_are_linear():
         began = time.time()
         text = html_extract.extract(body + junk * (300_000 // len(junk)), weights)
         assert time.time() - began < 20 and set(text) <= set(body) - set("<>/")
+
+
+def test_rollup_of_rows_without_id(spark):
+    rows = [(1, "a b", "en", "s"), (None, "a b", "en", "s"), (2, "c d e", "en", "s"), (None, "f", "en", "s"), (3, "g", "en", "t"), (3, "g", "en", "t")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.lifecycle(d).collect()}
+    assert got == {("s", "words-1"): (2, 5), ("s", "pieces-1"): (2, 5), ("t", "words-1"): (2, 2), ("t", "pieces-1"): (2, 2)}

@@ -71,7 +71,9 @@ def lifecycle(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     Load inserts every document under ``words-1`` (and is replayed, which must change nothing); the
     upgrade inserts all under ``pieces-1``; the removal deletes from both all but the first document
-    of each text; the recount revises ``words-1`` to words with a letter or digit.
+    of each text; the recount revises ``words-1`` to words with a letter or digit. The first document is
+    that of the smallest doc_id; a row without one is never it, so the removal takes all of these.
+    Rows of equal text and doc_id are one document that is there several times: all of them stay.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.coalesce("text", F.lit("")).alias("text"))
     counted = materialise(
@@ -80,7 +82,7 @@ def lifecycle(docs: DataFrame, path: str | None = None) -> DataFrame:
     )
     first = counted.groupBy("h", "h2").agg(F.min("doc_id").alias("first"))
     kept = counted.join(first, ["h", "h2"])
-    again = kept.where("doc_id <> first")
+    again = kept.where("NOT (doc_id <=> first) OR doc_id IS NULL")
     rollup = TokenRollup(docs.sparkSession, path or fresh_path(docs.sparkSession, "rollup"))
     rollup.commit("load", signed(counted, "words-1", F.col("words")))
     rollup.commit("load", signed(counted, "words-1", F.col("words")))
