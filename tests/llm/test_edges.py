@@ -189,3 +189,29 @@ def test_rollup_of_rows_without_id(spark):
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {(r.source, r.tokenizer): (r.n_docs, r.n_tokens) for r in rollup.lifecycle(d).collect()}
     assert got == {("s", "words-1"): (2, 5), ("s", "pieces-1"): (2, 5), ("t", "words-1"): (2, 2), ("t", "pieces-1"): (2, 2)}
+
+
+def test_mix_spreads_equal_rows_over_groups(spark):
+    equal = spark.range(6000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a").alias("source"), F.lit("one two three").alias("text"))
+    other = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("b").alias("source"), F.lit("w " * 40).alias("text"))
+    docs = equal.unionByName(other)
+    got = mixing.mix(docs, group=64).groupBy("target").agg(F.count("*").alias("rows"), F.sum("taken").alias("taken"), F.max("size").alias("size"), F.max("copies").alias("most")).collect()
+    assert sorted(x.rows for x in got) == [500, 6000]
+    assert all(abs(x.taken - x.target) <= 2 * x["size"] and x.most <= 3 for x in got)
+    assert [(x.source, x.doc_id, x.rows) for x in mixing._repeated(mixing.sized(docs), 64).collect()] == [("a", None, 6000)]
+
+
+def test_mix_targets_equal_plain_water_filling(spark):
+    sizes = {"a": 100, "b": 10, "c": 400, "d": 5, None: 60}
+    docs = spark.createDataFrame([(i, s, "w " * n) for i, (s, n) in enumerate(sizes.items())], "doc_id long, source string, text string")
+    names = sorted(s for s in sizes if s) + [None]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    target, left, total = {}, dict(weight), float(sum(sizes.values()))
+    while left:
+        share = (total - sum(target.values())) / sum(left.values())
+        full = [s for s in left if share * left[s] > 3 * sizes[s]]
+        for s in full or list(left):
+            target[s] = 3.0 * sizes[s] if full else share * left[s]
+            del left[s]
+    got = {x.source: x.target for x in mixing.targets(mixing.sized(docs)).collect()}
+    assert got.keys() == target.keys() and all(abs(got[s] - target[s]) < 1e-6 for s in target)

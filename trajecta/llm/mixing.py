@@ -8,8 +8,9 @@ rest goes on. Each group leaves one fraction, which meets those of other groups
 until one is left in a source and is drawn. So the number of copies, and nearly the number of words,
 is kept at every step, and each document's chance is its fraction.
 
-Everything is made of DataFrame functions. Groups are dealt by a hash of the document, so a source
-of any size is spread evenly; draws are hashes, so reruns agree. Fractions are integers of 1 / 2^40,
+Everything is made of DataFrame functions. Groups are dealt by a hash of doc_id and size, so a source
+of any size is spread evenly; of equal rows that would fill a group alone, each is dealt by its number
+in the table as well. Draws are hashes, so reruns agree. Fractions are integers of 1 / 2^40,
 so no mass is lost to rounding.
 
 Defined cases: null text has size zero; sources of size zero have target zero; a null source is a
@@ -96,6 +97,11 @@ def _decided(groups: DataFrame, above: DataFrame) -> DataFrame:
     return joined.select(F.col("g.source").alias("source"), F.explode(F.concat("g.done", last)).alias("u")).select("source", "u.size", "u.id", "u.bit")
 
 
+def _repeated(sizes: DataFrame, group: int) -> DataFrame:
+    """(source, doc_id, size, rows) of equal rows that would fill more than a group of their own."""
+    return sizes.groupBy("source", "doc_id", "size").agg(F.count("*").alias("rows")).where(F.col("rows") > group)
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), group: int = GROUP) -> DataFrame:
     """(doc_id, size, source_size, target, taken, copies) for every document."""
     sizes = sized(docs)
@@ -104,15 +110,19 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), group: int = GROU
 
 def _mixed(sizes: DataFrame, weights: tuple[int, ...], group: int) -> DataFrame:
     """(key, size, source_size, target, taken, copies) of units (key, doc_id, source, size); the key takes no part in a draw."""
-    sizes = materialise(sizes, "sizes")
+    sizes = materialise(sizes.withColumn("number", F.monotonically_increasing_id()), "sizes")
     shares = materialise(targets(sizes, weights), "targets")
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     shares = shares.withColumn("whole", F.floor(expected + F.lit(0.5 / ONE))).withColumn("part", F.greatest(F.lit(0), F.round((expected - F.col("whole")) * ONE)).cast("long"))
     s, d = shares.alias("s"), sizes.alias("d")
-    known = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.key", "d.doc_id", "d.source", "d.size", "s.n", "s.part")
+    known = d.join(s, F.col("d.source").eqNullSafe(F.col("s.source"))).select("d.key", "d.doc_id", "d.source", "d.size", "d.number", "s.n", "s.part")
+    k, e = known.alias("k"), _repeated(sizes, group).alias("e")
+    alike = F.col("k.doc_id").eqNullSafe(F.col("e.doc_id")) & F.col("k.source").eqNullSafe(F.col("e.source")) & (F.col("k.size") == F.col("e.size"))
+    known = k.join(e, alike, "left").select("k.*", F.col("e.rows").isNotNull().alias("spread"))
     tie = F.xxhash64("doc_id", "size")
+    deal = F.when(F.col("spread"), F.xxhash64("doc_id", "size", "number")).otherwise(tie)
     buckets = F.ceil(F.col("n") / group).cast("long")
-    leaf = known.select("source", F.pmod(tie, buckets).alias("bucket"), buckets.alias("buckets"), _unit(F.col("size"), tie, F.col("key"), F.col("part")))
+    leaf = known.select("source", F.pmod(deal, buckets).alias("bucket"), buckets.alias("buckets"), _unit(F.col("size"), tie, F.col("key"), F.col("part")))
     levels = [_folded(leaf, "rounding")]
     most = -(-(shares.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")).first().n) // group)
     while most > 1:
