@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import arrow_rows
 
 #: Documents of each partition that costs and selectivities are estimated on.
 SAMPLE_ROWS = 16
@@ -125,8 +126,16 @@ BASE_RULES = RULES[:2]
 def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
     """(rule, seconds a document, share rejected) on the first ``sample_rows`` documents of every partition, timed on the executors."""
 
+    def head(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left = sample_rows
+        for batch in batches:
+            yield batch.slice(0, left)
+            left -= batch.num_rows
+            if left <= 0:
+                return  # the task ends here, the rest of its partition is not read
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
+        for part in T.slices(head(batches)):
             rows = []
             for rule in rules:
                 began = time.thread_time()
@@ -134,9 +143,9 @@ def estimate(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
                 rows.append((rule.name, time.thread_time() - began, rejected, part.n))
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], ["rule", "seconds", "rejected", "n"])
 
-    place = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)  # within its partition
-    sample = docs.select(F.col("text").cast("string").alias("text"), place.alias("place")).where(F.col("place") < sample_rows).select("text")
-    found = sample.mapInArrow(run, "rule string, seconds double, rejected long, n long").groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
+    sample = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "rule string, seconds double, rejected long, n long")
+    with arrow_rows(docs.sparkSession, sample_rows):
+        found = sample.groupBy("rule").agg(F.sum("seconds").alias("s"), F.sum("rejected").alias("r"), F.sum("n").alias("n")).collect()
     return [(x.rule, x.s / x.n, x.r / x.n) for x in found]
 
 
