@@ -63,11 +63,11 @@ def densify(poses: DataFrame, spacing: float, yaw_step: float) -> DataFrame:
     return poses.select("episode", "frame", "x", "y", "z", "yaw").groupBy("episode").applyInPandas(run, _OUT)
 
 
-def gaussian(v: np.ndarray, sigma: float) -> np.ndarray:
-    """Smoothed along the first axis, the ends repeated."""
+def gaussian(v: np.ndarray, sigma: float, reach: float = 4.0) -> np.ndarray:
+    """Smoothed along the first axis, the ends repeated; the kernel ends at ``reach`` sigmas."""
     if sigma <= 0 or len(v) < 2:
         return v.copy()
-    r = int(4 * sigma + 0.5)
+    r = int(reach * sigma + 0.5)
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     padded = np.concatenate([np.repeat(v[:1], r, axis=0), v, np.repeat(v[-1:], r, axis=0)])
@@ -89,30 +89,6 @@ def smooth(poses: DataFrame, sigma: float, corridor: float) -> DataFrame:
     return poses.select("episode", "frame", "x", "y", "z", "yaw").groupBy("episode").applyInPandas(run, _OUT)
 
 
-def turn_intensity(p: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """0 on straight parts, 1 on sharp turns."""
-    heading = np.unwrap(np.arctan2(np.gradient(p[:, 1]), np.gradient(p[:, 0]))) if len(p) > 1 else np.zeros(len(p))
-    bend = np.abs(np.gradient(heading)) if len(p) > 1 else heading
-    return np.clip(gaussian((bend / (np.pi / 4))[:, None], sigma)[:, 0], 0, 1)
-
-
-def retime(poses: DataFrame, speed: float, slow: float = 0.5) -> DataFrame:
-    """Poses at whole seconds: constant speed along the path, slower on turns, positions by arc length; the end stays."""
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        p, episode = _ordered(g), int(g["episode"].iloc[0])
-        if len(p) < 2:
-            return _frame(episode, p)
-        step = np.linalg.norm(np.diff(p[:, :3], axis=0), axis=1)
-        pace = speed * (1 - (1 - slow) * turn_intensity(p))
-        seconds = np.concatenate([[0.0], np.cumsum(step / np.maximum((pace[1:] + pace[:-1]) / 2, 1e-6))])
-        n = max(1, int(np.floor(seconds[-1] + 0.5)))
-        at = np.linspace(0, seconds[-1], n + 1)
-        return _frame(episode, np.stack([np.interp(at, seconds, p[:, k]) for k in range(4)], axis=1))
-
-    return poses.select("episode", "frame", "x", "y", "z", "yaw").groupBy("episode").applyInPandas(run, _OUT)
-
-
 def pack_shards(items: DataFrame, scene: str, order: str, size: str, target: int) -> DataFrame:
     """Adds ``shard``: in order within each scene, a new one whenever the target would be passed."""
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trajecta.functions import geometry as G
 from trajecta.functions import hashing as H
 from trajecta.functions import strings as S
-from trajecta.operators import chains, history, joins, quality, sampling, sets, stats, trajectory, windows
+from trajecta.operators import chains, history, joins, quality, retiming, sampling, sets, stats, trajectory, windows
 from trajecta.plans import batch_queries, context_queries, nested_queries, package_queries, pose_queries, record_queries, run_queries, source_queries  # noqa: F401  (they register theirs)
 from trajecta.plans.registry import FRAMES, POSES, QUERIES, SQL, Tables, query, r6, wrap_sql
 from trajecta.streaming import windows as streams
@@ -535,8 +535,8 @@ def pchip_densify(t: Tables) -> DataFrame:
 
 @query()
 def smooth_retime(t: Tables) -> DataFrame:
-    s = trajectory.smooth(t.poses, 2.0, 0.5).withColumnRenamed("step", "frame")
-    return trajectory.retime(s, 0.2).select("episode", "step", *[r6(F.col(c), c) for c in ("x", "y", "z", "yaw")])
+    d = retiming.smooth_and_retime(t.poses, "embeddings")
+    return d.select("episode", "step", *[r6(F.col(c), c) for c in ("x", "y", "z", "yaw", "turn", "deviation")], "reason")
 
 
 @query()
