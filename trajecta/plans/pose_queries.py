@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajecta.functions import geometry as G
-from trajecta.operators import windows
+from trajecta.operators import waypoints, windows
 from trajecta.plans.registry import POSES, Tables, query, r6, wrap_sql
 
 def _by():
@@ -77,3 +77,22 @@ def camera_pose(t: Tables) -> DataFrame:
     p = t.poses.select("vec_id", G.mounted(_pose(), F.lit(0.5), F.lit(0.2), F.lit(0.1), F.lit(1.5)).alias("c"), G.reflected(_pose(), "reflect_y_yaw").alias("r"), G.rotation_matrix(q["w"], q["x"], q["y"], q["z"]).alias("m"))
     m = F.col("m")
     return p.select("vec_id", r6(F.col("c.x"), "cx"), r6(F.col("c.y"), "cy"), r6(F.col("c.z"), "cz"), r6(F.col("c.yaw"), "cyaw"), r6(F.col("r.y"), "ry"), r6(F.col("r.yaw"), "ryaw"), r6(m[0][0], "m00"), r6(m[0][1], "m01"))
+
+
+@query()
+def waypoint_updates(t: Tables) -> DataFrame:
+    """Each frame's new time and actions over even waypoints a tenth apart."""
+    u = waypoints.frame_updates(waypoints.even_waypoints(t.poses, 0.1, 0.2))
+    return u.select("episode", "frame", "timestamp", "h", *[r6(F.col(c), c) for c in ("dx", "dy", "dz", "dyaw")], "padded")
+
+
+@query()
+def waypoint_summary(t: Tables) -> DataFrame:
+    s = waypoints.path_summary(waypoints.even_waypoints(t.poses, 0.1, 0.2))
+    return s.select("episode", "frames", "dense_waypoints", r6(F.col("max_position_step"), "max_position_step"), r6(F.col("max_yaw_step"), "max_yaw_step"))
+
+
+@query()
+def waypoint_action_statistics(t: Tables) -> DataFrame:
+    s = waypoints.action_statistics(waypoints.frame_updates(waypoints.even_waypoints(t.poses, 0.1, 0.2)))
+    return s.select("dim", *[r6(F.col(c), c) for c in ("mean", "std", "min", "max")], "n")
