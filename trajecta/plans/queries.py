@@ -14,7 +14,7 @@ from trajecta.functions import geometry as G
 from trajecta.functions import hashing as H
 from trajecta.functions import strings as S
 from trajecta.operators import chains, history, joins, quality, retiming, sampling, sets, stats, trajectory, windows
-from trajecta.plans import batch_queries, context_queries, nested_queries, package_queries, pose_queries, record_queries, run_queries, source_queries  # noqa: F401  (they register theirs)
+from trajecta.plans import batch_queries, context_queries, nested_queries, package_queries, pose_queries, record_queries, run_queries, source_queries, video_queries  # noqa: F401  (they register theirs)
 from trajecta.plans.registry import FRAMES, POSES, QUERIES, SQL, Tables, query, r6, wrap_sql
 from trajecta.streaming import windows as streams
 
