@@ -20,6 +20,13 @@ sets). The shingles of each set are also counted in ``BINS`` bins: counts that d
 similar sets can rule a candidate out, and every other is checked on the whole sets. Sets of sizes m
 and n have ``ceil(0.8 (m + n) / 1.8)`` in common, and so share more of their first shingles the nearer
 their sizes are: all that are due must be there before a pair is made.
+
+A shingle that more than ``CROWD`` sets are found under makes no pairs. Its sets are compared by way of
+a centre, the shingles that most of them have: if d(x) is what x and the centre don't have in common,
+x and y differ in ``|d(x)| + |d(y)| - 2 |d(x) & d(y)|`` shingles. So two sets near enough to the centre
+are similar for certain and link to the nearest; any other similar pair has shingles of its own in both
+differences, as many as their sizes make due, and is found under the first of these, the rarest of the
+crowd leading. Every centre finds the same links, a good one with fewer pairs.
 """
 
 from __future__ import annotations
@@ -45,6 +52,10 @@ SIMILARITY = (4, 5)
 SHARED = 3
 FREQUENT = 1 << 16
 BINS = 64
+#: Sets under one shingle that are compared by pairs; the centre of more is made from about ``SAMPLE`` of them.
+CROWD = 32
+SAMPLE = 256
+CENTRE = 1024
 #: Keys that a broadcast may have (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 _FEED = 1 << 16
@@ -244,6 +255,103 @@ def _among(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     return rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted, key, "left_semi")
 
 
+def _whole_sets(own: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """(id, set): the whole sets of the texts with the hashes h of ``own``."""
+
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in T.slices(batches):
+            made = [_shingle_set(part.text_bytes(i), shingle) for i in range(part.n)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in made], np.uint64).view(np.int64)), pa.array([x[0].tobytes() for x in made], pa.binary())], ["id", "set"])
+
+    texts = materialise(own.select("h").distinct(), name)
+    sets = _among(docs.select(F.xxhash64("text").alias("h"), "text"), texts, "h").dropDuplicates(["h"])
+    return materialise(sets.select("text").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]), name)
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """(group, size, keys, counts): the shingles that most of a sample of each group have, and how many have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for group, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = np.frombuffer(own.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), group)), pa.array(keys)], ["group", "key"])
+
+    whole = members.groupBy("group").agg(F.count("*").alias("all"))
+    sample = members.join(whole, "group").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("all") < SAMPLE << 20)
+    sample = materialise(sample.select("group", "set"), "samples")
+    sizes = sample.groupBy("group").agg(F.count("*").alias("size"))
+    counts = sample.mapInArrow(run, "group long, key long").groupBy("group", "key").agg(F.count("*").alias("n")).where("n > 1")
+    most = counts.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "key"))).where(F.col("r") <= CENTRE)
+    most = most.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("k"))
+    return materialise(most.join(sizes, "group").select("group", "size", F.col("k.key").alias("keys"), F.col("k.n").alias("counts")), "centres")
+
+
+def _differences(members: DataFrame) -> DataFrame:
+    """(group, id, class, n, d, slack, at, key): each set's first differences from its group's centre, and one row with ``at`` -1.
+
+    ``d`` is the number of all its differences. Two sets are similar if and only if their slacks add
+    up to no more than ``2 * (least + whole)`` times the differences they have in common.
+    """
+    least, whole = SIMILARITY
+    scale, room = whole + least, whole - least
+    columns = ["group", "id", "class", "n", "d", "slack", "at", "key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [[np.zeros(0, np.int64)] for _ in columns]
+            known: dict[int, tuple] = {}
+            sets, keys, counts, sizes = (batch.column(batch.schema.get_field_index(x)) for x in ("set", "keys", "counts", "size"))
+            for i, (group, name, of) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True)):
+                if group not in known:
+                    k, n, size = (keys[i].values.to_numpy(), counts[i].values.to_numpy(), sizes[i].as_py()) if keys[i].is_valid else (np.zeros(0, np.int64), np.zeros(0, np.int64), 0)
+                    known[group] = k, np.minimum(n, size - n), k[2 * n > size]
+                k, rare, centre = known[group]
+                own = np.frombuffer(sets[i].as_buffer(), np.int64)
+                apart, n = np.setxor1d(own, centre, assume_unique=True), len(own)
+                rank = np.zeros(len(apart), np.int64)
+                if len(k) and len(apart):
+                    near = np.searchsorted(k, apart).clip(max=len(k) - 1)
+                    rank = np.where(k[near] == apart, rare[near], 0)
+                slack = scale * len(apart) - room * n
+                nearest = min(max(len(centre), -(-least * n // whole)), whole * n // least)  # the size of the partner that may need fewest
+                fewest = max(1, -(-(slack + scale * abs(nearest - len(centre)) - room * nearest) // (2 * scale)))
+                first = apart[np.argsort(rank, kind="stable")[: max(0, len(apart) - fewest + 1)]]
+                for column, x in zip(out, (group, name, of, n, len(apart), slack), strict=False):
+                    column.append(np.full(len(first) + 1, x))
+                out[6].append(np.arange(-1, len(first)))
+                out[7].append(np.concatenate([np.zeros(1, np.int64), first]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], columns)
+
+    own = members.join(_centres(members), "group", "left").select("group", "id", "class", "set", "keys", "counts", "size")
+    return own.mapInArrow(run, ", ".join(f"`{x}` long" for x in columns))
+
+
+def _crowd_pairs(crowded: DataFrame, found: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(a, b): pairs that connect all similar sets of two classes under a key of ``crowded(id, key, class)``."""
+    least, whole = SIMILARITY
+    most = crowded.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"))
+    members = materialise(crowded.join(most.select("key", F.col("m.class").alias("group")), "key").select("group", "id", "class").distinct(), "crowds")
+    names = materialise(members.select("id").distinct(), "crowds")
+    sets = _whole_sets(_among(found.select("id", "h"), names, "id"), docs, shingle, "crowds")
+    rows = materialise(_differences(materialise(members.join(sets, "id"), "crowds")), "differences")
+
+    every = rows.where("at < 0").select("group", "id", "slack")
+    nearest = every.groupBy("group").agg(F.min(F.struct("slack", "id")).alias("m"))
+    certain = every.join(nearest, "group").where((F.col("slack") + F.col("m.slack") <= 0) & (F.col("id") != F.col("m.id"))).select(F.col("id").alias("a"), F.col("m.id").alias("b"))
+
+    same = Window.partitionBy("group", "key")
+    shared = rows.where("at >= 0").withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high").drop("low", "high")
+    shared = materialise(shared, "differences")
+    side = lambda c: shared.select("group", "key", *[F.col(x).alias(f"{c}_{x}") for x in ("id", "class", "n", "d", "slack", "at")])
+    slack = F.col("a_slack") + F.col("b_slack")
+    due = F.ceil(slack / (2 * (least + whole)))
+    alike = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class")) & (whole * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
+    first = (F.col("a_at") + due <= F.col("a_d")) & (F.col("b_at") + due <= F.col("b_d"))
+    pairs = side("a").join(side("b"), ["group", "key"]).where(alike & (slack > 0) & first)
+    return certain.unionByName(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+
+
 def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
     """(a, b): those of the pairs whose sets are similar enough: by their bins first, then on the whole sets."""
     least, whole = SIMILARITY
@@ -257,11 +365,6 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
     apart = F.aggregate(F.zip_with("x_bins", "y_bins", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda s, v: s + v)
     pairs = materialise(both.where((whole + least) * apart <= (whole - least) * (F.col("x_n") + F.col("y_n"))).select("a", "b"), name)
 
-    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches):
-            made = [_shingle_set(part.text_bytes(i), shingle) for i in range(part.n)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([x[1] for x in made], np.uint64).view(np.int64)), pa.array([x[0].tobytes() for x in made], pa.binary())], ["id", "set"])
-
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = ([np.frombuffer(v.as_buffer(), np.int64) for v in batch.column(c)] for c in (2, 3))
@@ -269,9 +372,7 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
             alike = [whole * c >= least * (len(p) + len(q) - c) for c, p, q in zip(common, x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    texts = materialise(own.join(ends(pairs), "id", "left_semi").select("h").distinct(), name)
-    sets = _among(docs.select(F.xxhash64("text").alias("h"), "text"), texts, "h").dropDuplicates(["h"])
-    sets = materialise(sets.select("text").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]), name)
+    sets = _whole_sets(own.join(ends(pairs), "id", "left_semi"), docs, shingle, name)
     both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b").select("a", "b", "x_set", "y_set")
     return materialise(both.mapInArrow(checked, "a long, b long"), name)
 
@@ -281,7 +382,7 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
 
     The first links are of near fingerprints and of each set to one other under its keys. What these
     connect is not compared again, so a large family costs a pair a member and not its square; all
-    pairs that share enough keys across the classes so far follow.
+    pairs that share enough keys across the classes so far follow, those of crowded keys by their centres.
     """
     least, whole = SIMILARITY
     fps = materialise(found.select("fp", "id").distinct(), "fingerprints")
@@ -303,13 +404,15 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
     roots = connected_components(first)
     classed = shared.join(roots, shared.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("class"))
     classed = classed.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
-    classed = materialise(classed.select("id", "n", "key", "class"), "keys")
+    classed = materialise(classed.withColumn("crowd", F.count("*").over(same)).select("id", "n", "key", "class", "crowd"), "keys")
+    crowded, classed = classed.where(F.col("crowd") > CROWD), classed.where(F.col("crowd") <= CROWD)
     a = classed.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("of_a"))
     b = classed.select("key", F.col("id").alias("b"), "n", "class")
     pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
     common, most = F.ceil(least * (F.col("m") + F.col("n")) / (least + whole)), F.ceil(least * F.greatest("m", "n") / whole)
     due = common - most + F.least(F.lit(SHARED), most)
     pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= due).select("a", "b")
+    pairs = pairs.unionByName(_crowd_pairs(crowded, found, docs, shingle))
     return first.unionByName(_similar(pairs, found, docs, shingle, "more_links"))
 
 
