@@ -27,7 +27,6 @@ import json
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +42,15 @@ CAPACITY = 1024
 END_ID = 2
 CACHE_WORDS = 600_000
 #: Longer words are encoded each time.
-CACHED_CHARACTERS = 64
+CACHED_BYTES = 64
 
 #: White space of Unicode.
 _SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: What libraries don't agree on as white space, and the start of the added token's spelling: such texts are encoded whole.
 _WHOLE = ("\x1c", "\x1d", "\x1e", "\x1f", "\u180e", "\u200b", "\ufeff", "<|")
+#: The same, and white space beyond ASCII, in UTF-8: such texts are cut one by one.
+_SPECIAL = re.compile("|".join([*_WHOLE[:4], *(re.escape(c) for c in _WHOLE[4:]), *"\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000"]).encode() + b"|\xe2\x80[\x80-\x8a]")
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿŒœ"
 #: Any other character sends a word through the vocabulary's whole pipeline; the others' pieces are cut here by its own rule.
 _ODD = re.compile(r"[^\x01\t-\r\x20-\x7EÀ-ÖØ-öø-ÿŒœ“”‘’–—…«»€£¿¡]")
@@ -60,7 +61,7 @@ _PIECE = re.compile(rf"\x01|'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTER}]+| ?[0-9]+| ?[^
 class WordEncoder(dict):
     """The ids of words as little-endian 32-bit integers, each word encoded once while it is in the cache.
 
-    The pieces of all new plain words of a slice go to the library's BPE model in one call; the
+    A slice's distinct words are told apart by Arrow, byte by byte. The pieces of all new plain ones go to the library's BPE model in one call; the
     bytes that ids stand for tell where each word ends.
     """
 
@@ -76,14 +77,18 @@ class WordEncoder(dict):
         for token, i in rules["model"]["vocab"].items():
             self._size[i] = len(token)  # a character for each byte
 
-    def _learn(self, new: list[str]) -> None:
-        joined, plain = "\x01".join(new), new
-        if "\x01" in new or _ODD.search(joined) or joined.count("\x01") >= len(new):
-            plain = [x for x in new if not _ODD.search(x) and "\x01" not in x]
-            joined = "\x01".join(plain)
-            odd = list(set(new).difference(plain))
-            for word, x in zip(odd, self._whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
-                self[word] = np.array(x.ids, "<u4").tobytes()
+    def _learn(self, words: list[bytes]) -> None:
+        joined, names = b"\x01".join(words).decode("utf-8", "replace"), words
+        new = joined.split("\x01")
+        if len(new) != len(words) or _ODD.search(joined):
+            new = [x.decode("utf-8", "replace") for x in words]
+            odd = [i for i, x in enumerate(new) if _ODD.search(x) or "\x01" in x]
+            for i, x in zip(odd, self._whole.encode_batch_fast([new[i] for i in odd], add_special_tokens=False), strict=True):
+                self[words[i]] = np.array(x.ids, "<u4").tobytes()
+            left = sorted(set(range(len(new))).difference(odd))
+            new, names = [new[i] for i in left], [words[i] for i in left]
+            joined = "\x01".join(new)
+        plain = names
         if not plain:
             return
         raw = (joined + "\x01").encode()
@@ -98,25 +103,36 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int = END_ID) -> list[bytes]:
         """The ids of each text, and the end id."""
-        decoded = [x.decode("utf-8", "replace") for x in texts]
-        words = [_WORD.findall(x) for x in decoded]
-        special = [i for i, x in enumerate(decoded) if any(c in x for c in _WHOLE)]
+        special = [i for i, x in enumerate(texts) if _SPECIAL.search(x)]
+        plain = list(texts)
         for i in special:
-            words[i] = []
-        wanted = set(chain.from_iterable(words))
-        if len(self) + len(wanted) > CACHE_WORDS:
+            plain[i] = b""
+        words, indices, places = T.distinct_words(np.frombuffer(b"".join(plain), np.uint8), np.cumsum([0, *map(len, plain)]))
+        out = T.joined_values(self._ids(words), indices, places)
+        for i in special:
+            out[i] = self._by_words(texts[i].decode("utf-8", "replace"))
+        end = struct.pack("<I", end_id)
+        return [x + end for x in out]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        if len(self) + len(words) > CACHE_WORDS:
             self.clear()
-        new = list(wanted.difference(self))
+        new = [x for x in words if x not in self]
         if new:
             self._learn(new)
-        end, get = struct.pack("<I", end_id), self.__getitem__
-        out = [b"".join(map(get, x)) + end for x in words]
-        for i in special:
-            out[i] = np.array(self._whole.encode(decoded[i], add_special_tokens=False).ids, "<u4").tobytes() + end
-        for x in [x for x in new if len(x) > CACHED_CHARACTERS]:
+        out = list(map(self.__getitem__, words))
+        for x in [x for x in new if len(x) > CACHED_BYTES]:
             del self[x]
         return out
 
+    def _by_words(self, text: str) -> bytes:
+        if any(c in text for c in _WHOLE):
+            return np.array(self._whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        words = [x.encode() for x in _WORD.findall(text)]
+        known = list(dict.fromkeys(words))
+        return b"".join(map(dict(zip(known, self._ids(known), strict=True)).__getitem__, words))
+
 
 @functools.lru_cache(maxsize=1)
 def word_encoder(tokenizer_json: str) -> WordEncoder:

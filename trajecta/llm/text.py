@@ -101,6 +101,31 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), self.counts)
 
 
+def distinct_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The distinct words of a buffer with the white space before them, their index at each place, and each document's range of places.
+
+    White space is that of ``NOT_SPACE``; at a document's end it stands alone. Words are compared byte by byte.
+    """
+    border = np.zeros(len(buf) + 1, bool)
+    inside = NOT_SPACE[buf]
+    border[1:-1] = inside[:-1] & ~inside[1:]
+    border[offsets] = True
+    at = np.flatnonzero(border)
+    words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
+    table = words.dictionary
+    cut = np.frombuffer(table.buffers()[1], np.int64, len(table) + 1, 8 * table.offset).tolist() if len(table) else [0]
+    data = table.buffers()[2].to_pybytes() if len(table) else b""
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], words.indices, np.searchsorted(at, offsets)
+
+
+def joined_values(values: list[bytes], indices: pa.Array, places: np.ndarray) -> list[bytes]:
+    """For each document, the values at its range of places, joined."""
+    rows = pa.array(values, pa.large_binary()).take(indices)
+    cut = np.frombuffer(rows.buffers()[1], np.int64, len(rows) + 1, 8 * rows.offset)[places].tolist() if len(rows) else [0] * len(places)
+    data = memoryview(rows.buffers()[2]) if len(rows) and rows.buffers()[2] else memoryview(b"")
+    return [bytes(data[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def per_doc_sum(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of consecutive ranges, zero for empty ranges."""
     total = np.zeros(len(values) + 1, np.float64 if values.dtype.kind == "f" else np.int64)
