@@ -88,6 +88,14 @@ def test_words_encode_like_texts(text):
 _ENCODER: list = []
 
 
+def test_tasks_share_a_worker_s_encoder():
+    rules = open(tokenizer_file(), encoding="utf-8").read()
+    first = tokens.piece_encoder(rules)
+    want = first.encode([b"one more word"])[0].tolist()
+    again = tokens.piece_encoder("".join([rules[:9], rules[9:]]))
+    assert again is first and "more" in again and again.encode([b"one more word"])[0].tolist() == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 50), st.integers(0, 2**32 - 1)), max_size=400), st.integers(1, 64), st.data())
 def test_blocks_round_trip(ids, block, data):

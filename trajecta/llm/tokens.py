@@ -25,6 +25,7 @@ columns are ignored; a very long text is one document of its shard, held once in
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import struct
@@ -120,6 +121,12 @@ class Encoder(dict):
         return [np.frombuffer(b"".join(map(self.__getitem__, pieces)) + end, "<u4") for pieces in split]
 
 
+@functools.lru_cache(maxsize=1)
+def piece_encoder(tokenizer_json: str) -> Encoder:
+    """A worker's encoder: its later tasks find the pieces of the earlier ones."""
+    return Encoder(tokenizer_json)
+
+
 def _packed(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values packed at ``width`` bits each."""
     used = -(-width // 8)
@@ -220,7 +227,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
         model = spark.sparkContext.broadcast(f.read())  # one vocabulary: its size doesn't depend on the input
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part = Encoder(model.value), TaskContext.get().partitionId()
+        encoder, part = piece_encoder(model.value), TaskContext.get().partitionId()
         names, lengths, pieces, held, before, shard = [], [], [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
