@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from .components import connected_components
-from .store import bound_batches, materialise
+from .store import bound_batches, discard, materialise
 
 SEED = 42
 SHINGLE = 3
@@ -265,7 +265,7 @@ def _whole_sets(own: DataFrame, docs: DataFrame, shingle: int, name: str) -> Dat
 
     texts = materialise(own.select("h").distinct(), name)
     sets = _among(docs.select(F.xxhash64("text").alias("h"), "text"), texts, "h").dropDuplicates(["h"])
-    return materialise(sets.select("text").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"]), name)
+    return sets.select("text").mapInArrow(sets_of, "id long, set binary").dropDuplicates(["id"])
 
 
 def _centres(members: DataFrame) -> DataFrame:
@@ -277,9 +277,7 @@ def _centres(members: DataFrame) -> DataFrame:
                 keys = np.frombuffer(own.as_buffer(), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), group)), pa.array(keys)], ["group", "key"])
 
-    whole = members.groupBy("group").agg(F.count("*").alias("all"))
-    sample = members.join(whole, "group").where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("all") < SAMPLE << 20)
-    sample = materialise(sample.select("group", "set"), "samples")
+    sample = members.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) * F.col("all") < SAMPLE << 20).select("group", "set")
     sizes = sample.groupBy("group").agg(F.count("*").alias("size"))
     counts = sample.mapInArrow(run, "group long, key long").groupBy("group", "key").agg(F.count("*").alias("n")).where("n > 1")
     most = counts.withColumn("r", F.row_number().over(Window.partitionBy("group").orderBy(F.desc("n"), "key"))).where(F.col("r") <= CENTRE)
@@ -332,9 +330,12 @@ def _crowd_pairs(crowded: DataFrame, found: DataFrame, docs: DataFrame, shingle:
     least, whole = SIMILARITY
     most = crowded.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"))
     members = materialise(crowded.join(most.select("key", F.col("m.class").alias("group")), "key").select("group", "id", "class").distinct(), "crowds")
+    members = members.join(members.groupBy("group").agg(F.count("*").alias("all")), "group")
     names = materialise(members.select("id").distinct(), "crowds")
     sets = _whole_sets(_among(found.select("id", "h"), names, "id"), docs, shingle, "crowds")
-    rows = materialise(_differences(materialise(members.join(sets, "id"), "crowds")), "differences")
+    members = materialise(members.join(sets, "id"), "crowds")
+    rows = materialise(_differences(members), "differences")
+    discard(members)
 
     every = rows.where("at < 0").select("group", "id", "slack")
     nearest = every.groupBy("group").agg(F.min(F.struct("slack", "id")).alias("m"))
@@ -372,9 +373,11 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
             alike = [whole * c >= least * (len(p) + len(q) - c) for c, p, q in zip(common, x, y, strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    sets = _whole_sets(own.join(ends(pairs), "id", "left_semi"), docs, shingle, name)
+    sets = materialise(_whole_sets(own.join(ends(pairs), "id", "left_semi"), docs, shingle, name), name)
     both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b").select("a", "b", "x_set", "y_set")
-    return materialise(both.mapInArrow(checked, "a long, b long"), name)
+    alike = materialise(both.mapInArrow(checked, "a long, b long"), name)
+    discard(sets)
+    return alike
 
 
 def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
