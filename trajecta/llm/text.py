@@ -111,11 +111,24 @@ def distinct_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], p
     border[1:-1] = inside[:-1] & ~inside[1:]
     border[offsets] = True
     at = np.flatnonzero(border)
+    return *_distinct(buf, at), np.searchsorted(at, offsets)
+
+
+def distinct_bare_words(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """As ``distinct_words``, of the words alone."""
+    words = Words(buf, offsets, NOT_SPACE)
+    at = np.zeros(len(words.start) + 1, np.int64)
+    np.cumsum(words.end - words.start, out=at[1:])
+    return *_distinct(buf[NOT_SPACE[buf]], at), words.offsets
+
+
+def _distinct(buf: np.ndarray, at: np.ndarray) -> tuple[list[bytes], pa.Array]:
+    """The distinct ones of consecutive ranges of a buffer, and the index of each range's."""
     words = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(buf))]).dictionary_encode()
     table = words.dictionary
     cut = np.frombuffer(table.buffers()[1], np.int64, len(table) + 1, 8 * table.offset).tolist() if len(table) else [0]
     data = table.buffers()[2].to_pybytes() if len(table) else b""
-    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], words.indices, np.searchsorted(at, offsets)
+    return [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)], words.indices
 
 
 def joined_values(values: list[bytes], indices: pa.Array, places: np.ndarray) -> list[bytes]:

@@ -13,8 +13,8 @@ A block holds ids less their minimum, packed at the width that ``PERCENTILE`` of
 higher bits of the others stand in the exception list. ``decode_range`` reads any range of ids
 through the block index.
 
-Encoding works on the pre-tokens of the vocabulary's own split, through a bounded cache: the tokenizer
-drops white space, so the ids of a text are those of its words in order. Pre-tokens of plain Latin
+Encoding works on words and the pre-tokens of the vocabulary's own split, through bounded caches: the
+tokenizer drops white space, so the ids of a text are those of its words in order. Pre-tokens of plain Latin
 text are cut here and go to the library's BPE model; words with any other character go through its
 whole pipeline. ``write_tokens`` expects a vocabulary with that split (``word_bpe_49k.json``).
 
@@ -45,6 +45,11 @@ PERCENTILE = 95
 SHARD_IDS = 1 << 18
 END_ID = 1
 CACHE_PIECES = 400_000
+CACHE_WORDS = 600_000
+#: Text of a slice: a frequent word is looked up once in each.
+SLICE_BYTES = 8 << 20
+#: Longer words are put together each time.
+CACHED_BYTES = 64
 _HEAD = struct.Struct("<4sIQII")
 _BLOCK_HEAD = struct.Struct("<IBH")
 
@@ -53,7 +58,9 @@ _BLOCK_HEAD = struct.Struct("<IBH")
 _PLAIN = re.compile(r"[\x20\t\n\r\x0b\x0c\x21-\x7EÀ-ÖØ-öø-ÿŒœ“”‘’–—…«»€£]*")
 #: The vocabulary file's own split of lower-cased text, over those characters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9\x20\t\n\r\x0b\x0c]+")
-_SPACE = re.compile(r"[\x20\t\n\r\x0b\x0c]+")
+#: The same where ``\x01`` stands between words, and the id that stands for it.
+_MARKED = re.compile(_PIECE.pattern.replace("[^a-z", "[^\x01a-z") + "|\x01")
+_BETWEEN = 0xFFFFFFFF
 
 
 def byte_alphabet() -> list[str]:
@@ -68,13 +75,15 @@ class Encoder(dict):
 
     A key is a pre-token of the vocabulary's split or, after a line break, a whole word with characters
     outside ``_PLAIN``. New pre-tokens of a slice go to the library's BPE in one call; the ids of each
-    end with one that closes a word, so the result falls apart again into pieces.
+    end with one that closes a word, so the result falls apart again into pieces. A slice's distinct words
+    are told apart by Arrow, byte by byte; what each is put together from is kept in a cache of its own.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self._words: dict[bytes, bytes] = {}
         self._whole = Tokenizer.from_str(tokenizer_json)
         rules = json.loads(tokenizer_json)
         suffix = rules["model"]["end_of_word_suffix"]
@@ -83,17 +92,6 @@ class Encoder(dict):
         self._closes[[i for t, i in rules["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self._alphabet = {b: c for b, c in enumerate(byte_alphabet()) if b != 0x20}
 
-    def _split(self, text: str) -> list[str]:
-        if "<|" not in text and _PLAIN.fullmatch(text):
-            return _PIECE.findall(text.lower())
-        out: list[str] = []
-        for word in _SPACE.split(text):
-            if "<|" in word or not _PLAIN.fullmatch(word):
-                out.append("\n" + word)
-            else:
-                out += _PIECE.findall(word.lower())
-        return out
-
     def _learn(self, new: list[str]) -> None:
         plain, odd = [x for x in new if x[0] != "\n"], [x for x in new if x[0] == "\n"]
         spelled = " ".join(plain).encode().decode("latin-1").translate(self._alphabet)
@@ -110,15 +108,44 @@ class Encoder(dict):
 
     def encode(self, texts: list[bytes], end_id: int | None = END_ID) -> list[np.ndarray]:
         """The ids of each text, and the end id."""
-        split = [self._split(x.decode("utf-8", "replace")) for x in texts]
-        wanted = set().union(*split)
+        words, indices, places = T.distinct_bare_words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+        end = b"" if end_id is None else struct.pack("<I", end_id)
+        return [np.frombuffer(x + end, "<u4") for x in T.joined_values(self._ids(words), indices, places)]
+
+    def _ids(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words."""
+        known = self._words
+        if len(known) + len(words) > CACHE_WORDS:
+            known.clear()
+        found = list(map(known.get, words))
+        new = [x for x, ids in zip(words, found, strict=True) if ids is None]
+        if not new:
+            return found
+        made = self._learn_words(new)
+        known.update((x, ids) for x, ids in zip(new, made, strict=True) if len(x) <= CACHED_BYTES)
+        left = iter(made)
+        return [next(left) if ids is None else ids for ids in found]
+
+    def _learn_words(self, new: list[bytes]) -> list[bytes]:
+        """The ids of words, put together from those of their pieces."""
+        names, plain = [x.decode("utf-8", "replace") for x in new], _PLAIN.fullmatch
+        whole = {i: "\n" + x for i, x in enumerate(names) if "<|" in x or not plain(x)}
+        for i in whole:
+            names[i] = ""
+        pieces = _MARKED.findall("\x01".join([*names, ""]).lower())
+        wanted = {*pieces, *whole.values()} - {"\x01"}
         if len(self) + len(wanted) > CACHE_PIECES:
             self.clear()
-        new = [x for x in wanted if x not in self]
-        if new:
-            self._learn(new)
-        end = b"" if end_id is None else struct.pack("<I", end_id)
-        return [np.frombuffer(b"".join(map(self.__getitem__, pieces)) + end, "<u4") for pieces in split]
+        if unknown := [x for x in wanted if x not in self]:
+            self._learn(unknown)
+        self["\x01"] = struct.pack("<I", _BETWEEN)
+        data = b"".join(map(self.__getitem__, pieces))
+        del self["\x01"]
+        ends = (4 * np.flatnonzero(np.frombuffer(data, "<u4") == _BETWEEN)).tolist()
+        made = [data[a:b] for a, b in zip([0, *(x + 4 for x in ends[:-1])], ends, strict=True)]
+        for i, piece in whole.items():
+            made[i] = self[piece]
+        return made
 
 
 @functools.lru_cache(maxsize=1)
@@ -234,7 +261,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
             data = encode_shard(names, lengths, np.concatenate(pieces), block, percentile)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())], ["part", "shard", "first", "n_ids", "payload"])
 
-        for s in T.slices(batches):
+        for s in T.slices(batches, limit=SLICE_BYTES):
             encoded = encoder.encode([s.text_bytes(i) for i in range(s.n)], end_id)
             for name, ids in zip(s.batch.column(0).to_pylist(), encoded, strict=True):
                 names.append(name)
