@@ -115,6 +115,11 @@ def _variants(segment: Column, masks: list[int]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(len(masks) - 1)), lambda i: F.struct(i.alias("mask"), segment.bitwiseAND(F.element_at(F.array(*map(F.lit, masks)), i + 1)).alias("value")))
 
 
+def _merged(rows: DataFrame) -> DataFrame:
+    """Rows that no join may broadcast: Spark takes exploded rows for as many as there were before, and packed columns for their size in files."""
+    return rows.hint("merge")
+
+
 def links(fps: DataFrame) -> DataFrame:
     """(a, b): links between different fingerprints that connect all those at most two bits apart.
 
@@ -128,7 +133,7 @@ def links(fps: DataFrame) -> DataFrame:
     )
     keyed = fps.select("fp", F.explode(keys).alias("k")).select("fp", "k.mask", "k.value")
     sizes = keyed.groupBy("mask", "value").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(keyed.join(sizes, ["mask", "value"]), "buckets")
+    shared = materialise(_merged(keyed).join(sizes, ["mask", "value"]), "buckets")
     near = lambda a, b: F.bit_count(a.bitwiseXOR(b)) <= 2
 
     small = shared.where(F.col("n") <= BUCKET).groupBy("mask", "value").agg(F.sort_array(F.collect_list("fp")).alias("all"))
@@ -144,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
     stars = []
     for keyed_again in (exact, wild):
         heads = keyed_again.groupBy("mask", "value", "sub").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        stars.append(keyed_again.join(heads, ["mask", "value", "sub"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
+        stars.append(_merged(keyed_again).join(heads, ["mask", "value", "sub"]).where("fp <> b").select(F.col("fp").alias("a"), "b"))
     return small.unionByName(stars[0]).unionByName(stars[1])
 
 
