@@ -354,7 +354,7 @@ def _crowd_pairs(crowded: DataFrame, found: DataFrame, docs: DataFrame, shingle:
     due = F.ceil(slack / (2 * (least + whole)))
     alike = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class")) & (whole * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
     first = (F.col("a_at") + due <= F.col("a_d")) & (F.col("b_at") + due <= F.col("b_d"))
-    pairs = side("a").join(side("b"), ["group", "key"]).where(alike & (slack > 0) & first)
+    pairs = _merged(side("a")).join(side("b"), ["group", "key"]).where(alike & (slack > 0) & first)
     return certain.unionByName(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
 
 
@@ -397,7 +397,7 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
     heads = fps.groupBy("fp").agg(F.min("id").alias("head"))
     near = links(heads.select("fp"))
     at = lambda side: heads.select(F.col("fp").alias(side), F.col("head").alias(f"{side}_id"))
-    first = near.join(at("a"), "a").join(at("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    first = _merged(_merged(near).join(at("a"), "a")).join(at("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
     first = first.unionByName(fps.join(heads, "fp").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")))
 
     same = Window.partitionBy("key")
@@ -416,7 +416,7 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
     crowded, classed = classed.where(F.col("crowd") > CROWD), classed.where(F.col("crowd") <= CROWD)
     a = classed.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("of_a"))
     b = classed.select("key", F.col("id").alias("b"), "n", "class")
-    pairs = a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
+    pairs = _merged(a).join(b, "key").where((F.col("a") < F.col("b")) & (F.col("of_a") != F.col("class")) & alike)
     common, most = F.ceil(least * (F.col("m") + F.col("n")) / (least + whole)), F.ceil(least * F.greatest("m", "n") / whole)
     due = common - most + F.least(F.lit(SHARED), most)
     pairs = pairs.groupBy("a", "b", "m", "n").agg(F.count("*").alias("c")).where(F.col("c") >= due).select("a", "b")
