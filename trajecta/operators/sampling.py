@@ -103,8 +103,11 @@ def balanced_outcomes(df: DataFrame, success: Column, key: str, n: int, seed: st
     return ranked.orderBy("_top", "_r", F.desc("_s")).limit(n).drop("_s", "_r", "_top")
 
 
-def exact_group_split(counts: DataFrame, key: str, size: str, quota: int, seed: str) -> list:
-    """Groups, never split, whose sizes add up to the quota exactly; in hash order, by subset sums over the groups."""
+def exact_group_split(counts: DataFrame, key: str, size: str, quota: int, seed: str, nearest: bool = False) -> list:
+    """Groups, never split, whose sizes add up to the quota exactly; in hash order, by subset sums over the groups.
+
+    A quota that no groups add up to is an error or, with ``nearest``, the largest sum below it is taken.
+    """
     rows = counts.select(key, size).orderBy(stable_rank(seed, F.col(key)), key).collect()
     reached: dict[int, tuple[int, object] | None] = {0: None}
     for row in rows:
@@ -112,9 +115,9 @@ def exact_group_split(counts: DataFrame, key: str, size: str, quota: int, seed:
             new = total + row[size]
             if new <= quota and new not in reached:
                 reached[new] = (total, row[key])
-    if quota not in reached:
+    if quota not in reached and not nearest:
         raise ValueError(f"no groups add up to {quota}")
-    chosen, at = [], quota
+    chosen, at = [], max(reached)
     while reached[at] is not None:
         at, name = reached[at]
         chosen.append(name)

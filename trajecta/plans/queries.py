@@ -409,8 +409,9 @@ def lpt_balance(t: Tables) -> DataFrame:
 
 @query()
 def exact_group_split(t: Tables) -> DataFrame:
+    """Nations of half the suppliers, or of the most below half: many groups of nearly one size can't all be halved."""
     c = t.supplier.groupBy("s_nationkey").agg(F.count("*").alias("n"))
-    chosen = sampling.exact_group_split(c, "s_nationkey", "n", t.supplier.count() // 2, "s4")
+    chosen = sampling.exact_group_split(c, "s_nationkey", "n", t.supplier.count() // 2, "s4", nearest=True)
     return c.where(F.col("s_nationkey").isin(chosen))
 
 
