@@ -337,9 +337,14 @@ def flatten_metrics(t: Tables) -> DataFrame:
     return stats.flattened(g, ["l_returnflag"], ["quantity", "tax"], "eval")
 
 
-@query("SELECT user_id, count(DISTINCT event_type) AS types, min_by(event_id, value) AS lowest, max_by(event_id, value) AS highest, bool_or(value > 95) AS any_high, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM events GROUP BY user_id")
+@query("SELECT user_id, count(DISTINCT event_type) AS types, min_by(event_id, {'value': value, 'id': event_id}) FILTER (value IS NOT NULL) AS lowest, max_by(event_id, {'value': value, 'id': -event_id}) FILTER (value IS NOT NULL) AS highest, bool_or(value > 95) AS any_high, round(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END), 6) AS error_rate FROM events GROUP BY user_id")
 def episode_aggregates(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("types"), F.min_by("event_id", "value").alias("lowest"), F.max_by("event_id", "value").alias("highest"), F.bool_or(F.col("value") > 95).alias("any_high"), r6(F.avg((F.col("event_type") == "error").cast("double")), "error_rate"))
+    """Kinds, extremes and errors of each user's events; of equal values the first event_id is the lowest and the highest."""
+    known = F.col("value").isNotNull() & F.col("event_id").isNotNull()
+    lowest = F.min_by("event_id", F.when(known, F.struct("value", "event_id"))).alias("lowest")
+    highest = F.max_by("event_id", F.when(known, F.struct("value", -F.col("event_id")))).alias("highest")
+    error = F.when(F.col("event_type") == "error", 1.0).otherwise(0.0)
+    return t.events.groupBy("user_id").agg(F.countDistinct("event_type").alias("types"), lowest, highest, F.bool_or(F.col("value") > 95).alias("any_high"), r6(F.avg(error), "error_rate"))
 
 
 @query("SELECT count(*) AS frames, count(DISTINCT user_id) AS episodes, count(*) FILTER (value > 50) AS high, round(sum(value), 2) AS total FROM events")
