@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tests.helpers import duck_rows, spark_rows
+from trajecta.functions import strings as S
 from trajecta.plans import queries as Q
 
 
@@ -30,3 +32,12 @@ def test_first_of_equal_values(spark, written):
     c.sql(f"CREATE VIEW events AS SELECT * FROM '{at}/events.parquet/*.parquet'")
     assert got == duck_rows(c, Q.SQL["episode_aggregates"])
     assert {r.user_id: (r.lowest, r.highest) for r in Q.QUERIES["episode_aggregates"](spark, at).collect()} == {1: (3, 3), 2: (None, None), 3: (6, 1)}
+
+
+def test_numbers_of_more_than_six_digits(spark, written):
+    at = written("orders", [(7, 1), (999999, 2), (1234567, 3), (90000000, 4)], "o_orderkey long, o_custkey long")
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW orders AS SELECT * FROM '{at}/orders.parquet/*.parquet'")
+    assert spark_rows(Q.QUERIES["ref_build_parse"](spark, at)) == duck_rows(c, Q.SQL["ref_build_parse"])
+    missing = spark.sql("SELECT CAST(NULL AS BIGINT) AS f").select(S.frame_ref(F.lit("e"), F.col("f"), F.lit("front")).alias("ref"))
+    assert missing.first().ref is None

@@ -20,7 +20,9 @@ def sanitise(t: Column) -> Column:
 
 
 def frame_ref(episode: Column, frame: Column, camera: Column) -> Column:
-    return F.concat_ws("/", episode.cast("string"), F.lpad(frame.cast("string"), 6, "0"), camera)
+    """episode/frame/camera, the frame with six digits or as many as it has; null if a part is."""
+    number = F.when(frame.isNotNull(), F.format_string("%06d", frame.cast("bigint")))
+    return F.concat(episode.cast("string"), F.lit("/"), number, F.lit("/"), camera)
 
 
 def parse_ref(ref: Column) -> Column:
