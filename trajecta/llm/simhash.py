@@ -32,6 +32,7 @@ crowd leading. Every centre finds the same links, a good one with fewer pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,9 @@ BINS = 64
 CROWD = 32
 SAMPLE = 256
 CENTRE = 1024
+#: Whole sets are dealt out in rounds of an eighth of all sets, or of ``ROUND`` shingles where that is more.
+ROUNDS = 8
+ROUND = 1 << 23
 #: Keys that a broadcast may have (16 bytes each); more are joined by a shuffle.
 BROADCAST_ROWS = 1 << 18
 _FEED = 1 << 16
@@ -330,15 +334,36 @@ def _differences(members: DataFrame) -> DataFrame:
     return own.mapInArrow(run, ", ".join(f"`{x}` long" for x in columns))
 
 
+def _rounds(found: DataFrame, shingles: int) -> int:
+    """How many rounds bound what so many shingles of whole sets take on disk by a share of all sets."""
+    every = found.agg(F.sum("n").alias("n")).first().n or 0
+    return max(1, -(-shingles // max(ROUND, every // ROUNDS)))
+
+
+def _in_round(key: str, k: int, rounds: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(rounds)) == k
+
+
 def _crowd_pairs(crowded: DataFrame, found: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """(a, b): pairs that connect all similar sets of two classes under a key of ``crowded(id, key, class)``."""
-    least, whole = SIMILARITY
+    """(a, b): pairs that connect all similar sets of two classes under a key of ``crowded(id, key, class)``.
+
+    A group's sets are compared in one round, and what they take on disk goes with it.
+    """
     most = crowded.groupBy("key", "class").agg(F.count("*").alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("m"))
     members = materialise(crowded.join(most.select("key", F.col("m.class").alias("group")), "key").select("group", "id", "class").distinct(), "crowds")
     members = members.join(members.groupBy("group").agg(F.count("*").alias("all")), "group")
     names = materialise(members.select("id").distinct(), "crowds")
-    sets = _whole_sets(_among(found.select("id", "h"), names, "id"), docs, shingle, "crowds")
-    members = materialise(members.join(sets, "id"), "crowds")
+    own = _among(found.select("id", "h", "n"), names, "id").groupBy("id").agg(F.min(F.struct("h", "n")).alias("s"))
+    members = materialise(members.join(own.select("id", "s.*"), "id"), "crowds")
+    rounds = _rounds(found, members.agg(F.sum("n").alias("n")).first().n or 0)
+    return reduce(DataFrame.unionByName, [_pairs_of_groups(members.where(_in_round("group", k, rounds)), docs, shingle) for k in range(rounds)])
+
+
+def _pairs_of_groups(members: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``_crowd_pairs`` of the groups of ``members(group, id, class, all, h)``."""
+    least, whole = SIMILARITY
+    sets = _whole_sets(members, docs, shingle, "crowds")
+    members = materialise(members.select("group", "id", "class", "all").join(sets, "id"), "crowds")
     rows = materialise(_differences(members), "differences")
     discard(members)
 
@@ -355,7 +380,10 @@ def _crowd_pairs(crowded: DataFrame, found: DataFrame, docs: DataFrame, shingle:
     alike = (F.col("a_id") < F.col("b_id")) & (F.col("a_class") != F.col("b_class")) & (whole * F.least("a_n", "b_n") >= least * F.greatest("a_n", "b_n"))
     first = (F.col("a_at") + due <= F.col("a_d")) & (F.col("b_at") + due <= F.col("b_d"))
     pairs = _merged(side("a")).join(side("b"), ["group", "key"]).where(alike & (slack > 0) & first)
-    return certain.unionByName(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct())
+    pairs = materialise(certain.unionByName(pairs.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()), "pairs")
+    discard(rows)
+    discard(shared)
+    return pairs
 
 
 def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
@@ -369,7 +397,9 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
     counts = own.select("id", "n", "bins")
     both = pairs.join(side("a", "x", counts), "a").join(side("b", "y", counts), "b")
     apart = F.aggregate(F.zip_with("x_bins", "y_bins", lambda i, j: F.abs(i.cast("int") - j.cast("int"))), F.lit(0), lambda s, v: s + v)
-    pairs = materialise(both.where((whole + least) * apart <= (whole - least) * (F.col("x_n") + F.col("y_n"))).select("a", "b"), name)
+    pairs = materialise(both.where((whole + least) * apart <= (whole - least) * (F.col("x_n") + F.col("y_n"))).select("a", "b", "x_n"), name)
+    rounds = _rounds(found, pairs.agg(F.sum("x_n").alias("n")).first().n or 0)
+    pairs = pairs.drop("x_n")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -379,10 +409,13 @@ def _similar(pairs: DataFrame, found: DataFrame, docs: DataFrame, shingle: int,
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
     sets = materialise(_whole_sets(own.join(ends(pairs), "id", "left_semi"), docs, shingle, name), name)
-    both = pairs.join(side("a", "x", sets), "a").join(side("b", "y", sets), "b").select("a", "b", "x_set", "y_set")
-    alike = materialise(both.mapInArrow(checked, "a long, b long"), name)
+    alike = []
+    for k in range(rounds):
+        both = pairs.where(_in_round("a", k, rounds)).join(side("a", "x", sets.where(_in_round("id", k, rounds))), "a")
+        both = both.join(side("b", "y", sets), "b").select("a", "b", "x_set", "y_set")
+        alike.append(materialise(both.mapInArrow(checked, "a long, b long"), name))
     discard(sets)
-    return alike
+    return reduce(DataFrame.unionByName, alike)
 
 
 def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -413,6 +446,7 @@ def similar_links(found: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHIN
     classed = shared.join(roots, shared.id == roots.node, "left").select("id", "n", "key", F.coalesce("root", "id").alias("class"))
     classed = classed.withColumn("low", F.min("class").over(same)).withColumn("high", F.max("class").over(same)).where("low <> high")
     classed = materialise(classed.withColumn("crowd", F.count("*").over(same)).select("id", "n", "key", "class", "crowd"), "keys")
+    discard(shared)
     crowded, classed = classed.where(F.col("crowd") > CROWD), classed.where(F.col("crowd") <= CROWD)
     a = classed.select("key", F.col("id").alias("a"), F.col("n").alias("m"), F.col("class").alias("of_a"))
     b = classed.select("key", F.col("id").alias("b"), "n", "class")
