@@ -6,6 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .nearest import Nearest
+
 _OUT = "episode long, step long, x double, y double, z double, yaw double"
 
 
@@ -79,16 +81,43 @@ def smooth(poses: DataFrame, sigma: float, corridor: float) -> DataFrame:
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         p = _ordered(g)
-        for s in (sigma, sigma / 2, sigma / 4, 0.0):
-            q = gaussian(p[:, :3], s)
-            q[[0, -1]] = p[[0, -1], :3]
-            if s == 0 or np.linalg.norm(q - p[:, :3], axis=1).max() <= corridor:
-                break
-        return _frame(int(g["episode"].iloc[0]), np.concatenate([q, p[:, 3:]], axis=1))
+        return _frame(int(g["episode"].iloc[0]), np.concatenate([_smoothed(p[:, :3], sigma, corridor), p[:, 3:]], axis=1))
 
     return poses.select("episode", "frame", "x", "y", "z", "yaw").groupBy("episode").applyInPandas(run, _OUT)
 
 
+def _smoothed(xyz: np.ndarray, sigma: float, corridor: float) -> np.ndarray:
+    for s in (sigma, sigma / 2, sigma / 4, 0.0):
+        q = gaussian(xyz, s)
+        q[[0, -1]] = xyz[[0, -1]]
+        if s == 0 or np.linalg.norm(q - xyz, axis=1).max() <= corridor:
+            break
+    return q
+
+
+def nearest_smoothed(poses: DataFrame, key: str, sigma: float, corridor: float) -> DataFrame:
+    """(key, nearest, deviation): the point of its episode's path (as ``smooth`` gives it) that is nearest to each pose.
+
+    Exact, of equally near points the first; points are ruled out in blocks. One episode a task. Points
+    that aren't finite are nearest to none, and poses that aren't have none. Poses without an episode are left out.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("frame")
+        xyz = g[["x", "y", "z"]].to_numpy(float)
+        path = _smoothed(xyz, sigma, corridor)
+        there = np.flatnonzero(np.isfinite(path).all(axis=1))
+        there = np.sort(there[np.unique(path[there], axis=0, return_index=True)[1]])
+        asked = np.isfinite(xyz).all(axis=1) & (len(there) > 0)
+        square, at = Nearest(path[there]).search(xyz[asked]) if asked.any() else (np.zeros(0), np.zeros(0, np.int64))
+        nearest, deviation = pd.array([None] * len(g), "Int64"), np.full(len(g), np.nan)
+        nearest[asked], deviation[asked] = there[at], np.sqrt(square)
+        return pd.DataFrame({key: g[key].to_numpy(), "nearest": nearest, "deviation": deviation})
+
+    own = poses.where("episode IS NOT NULL").select("episode", "frame", key, "x", "y", "z")
+    return own.groupBy("episode").applyInPandas(run, f"`{key}` {dict(poses.dtypes)[key]}, nearest long, deviation double")
+
+
 def pack_shards(items: DataFrame, scene: str, order: str, size: str, target: int) -> DataFrame:
     """Adds ``shard``: in order within each scene, a new one whenever the target would be passed."""
 

@@ -267,10 +267,8 @@ def dialogue_pairs(t: Tables) -> DataFrame:
 @query()
 def nearest_segment(t: Tables) -> DataFrame:
     """Distance of each pose to its smoothed path, and the nearest point of that path."""
-    smooth = trajectory.smooth(t.poses, 2.0, 5.0).select("episode", F.col("step").alias("frame"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"))
-    path = smooth.groupBy("episode").agg(F.collect_list(F.struct("frame", "sx", "sy", "sz")).alias("path"))
-    near = F.array_min(F.transform("path", lambda q: F.struct(((q["sx"] - F.col("x")) ** 2 + (q["sy"] - F.col("y")) ** 2 + (q["sz"] - F.col("z")) ** 2).alias("d"), q["frame"].alias("at"))))
-    return t.poses.join(path, "episode").withColumn("n", near).select("vec_id", F.col("n.at").alias("nearest"), r6(F.sqrt("n.d"), "deviation"))
+    near = trajectory.nearest_smoothed(t.poses, "vec_id", 2.0, 5.0)
+    return near.select("vec_id", "nearest", r6(F.col("deviation"), "deviation"))
 
 
 # --- statistics and metrics -----------------------------------------------------------------------
