@@ -105,3 +105,19 @@ def test_groups_and_reasons(spark):
     want, turn, off = retiming.timed(_corner(6), retiming.drawn_speed("a", 1, PACE), PACE)
     assert np.allclose([(r.x, r.y, r.z, r.yaw, r.turn) for r in one], np.column_stack([want, turn])) and one[0].deviation == pytest.approx(off)
     assert retiming.smooth_and_retime(df.where("false"), "a").count() == 0
+
+
+def test_farthest_of_many_points_is_not_all_pairs(monkeypatch):
+    rng, seen, keep = np.random.default_rng(8), [0], retiming.Nearest._candidates
+    source = np.cumsum(rng.normal(size=(20000, 3)) * 0.1, axis=0)
+    points = source + rng.normal(size=source.shape) * 0.2
+
+    def counted(self, low, high, most):
+        for chosen in keep(self, low, high, most):
+            seen[0] += 64 * len(chosen)
+            yield chosen
+
+    monkeypatch.setattr(retiming.Nearest, "_candidates", counted)
+    got = retiming.farthest(points, source, source, math.inf)
+    want = max(float(np.sqrt(((source - p) ** 2).sum(axis=1).min())) for p in points)
+    assert got == pytest.approx(want, abs=1e-12) and 0 < seen[0] < len(points) ** 2 / 10

@@ -20,11 +20,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .nearest import Nearest
 from .trajectory import gaussian
 
 RETIMED = "episode long, step long, x double, y double, z double, yaw double, turn double, deviation double, reason string"
-#: Distances that are computed at once in the search for the nearest source point.
-_BLOCK = 1 << 20
+#: Points that are searched at once for their nearest source point, at first and at most.
+_FEED = (1 << 10, 1 << 17)
 
 
 @dataclass(frozen=True)
@@ -85,24 +86,22 @@ def natural_spline(u: np.ndarray, v: np.ndarray, at: np.ndarray) -> np.ndarray:
     return curve + (v[k] / w - bend[k] * w / 6) * right + (v[k + 1] / w - bend[k + 1] * w / 6) * left
 
 
-def farthest(points: np.ndarray, own: np.ndarray, source: np.ndarray, limit: float) -> float:
+def farthest(points: np.ndarray, own: np.ndarray, source: np.ndarray | Nearest, limit: float) -> float:
     """The largest distance from a point to its nearest source point; any value above ``limit`` once one is.
 
     ``own``: a source point for each point, which bounds its distance, so that only points whose bound is
-    above the largest distance found are searched.
+    above the largest distance found are searched, and each only until it is known to be nearer than that.
     """
+    source = source if isinstance(source, Nearest) else Nearest(source)
     bound = np.linalg.norm(points - own, axis=1)
     order = np.argsort(-bound, kind="stable")
-    step = max(1, _BLOCK // len(source))
-    most = 0.0
-    for first in range(0, len(order), step):
+    most, first, step = 0.0, 0, _FEED[0]
+    while first < len(order) and bound[order[first]] > most:
         some = order[first : first + step]
-        if bound[some[0]] <= most:
-            break
-        squares = sum((points[some, k][:, None] - source[:, k]) ** 2 for k in range(3))
-        most = max(most, float(np.sqrt(squares.min(axis=1).max())))
+        most = max(most, float(np.sqrt(source.search(points[some[bound[some] > most]], most * most * (1 - 1e-15))[0].max())))
         if most > limit:
             break
+        first, step = first + step, min(2 * step, _FEED[1])
     return most
 
 
@@ -120,11 +119,12 @@ def smooth_path(poses: np.ndarray, pace: Pace) -> tuple[np.ndarray, float]:
     dense, source = along(n), along(max(n, 50 * len(knots)))
     own = source[np.rint(np.linspace(0, 1, n) * (len(source) - 1)).astype(int)]
     turn = bend_share(dense, np.linspace(0, chord[-1], n), pace)[:, None]
+    searched = Nearest(source)
     widest = min(1.5 * limit, max(0.0, pace.strength) * typical) * (n - 1) / chord[-1]
     for width in (widest, widest / 2, widest / 4, 0.0):
         xyz = (1 - turn) * gaussian(dense, width) + turn * gaussian(dense, width * pace.turn_widening)
         xyz[[0, -1]] = poses[[0, -1], :3]
-        off = farthest(xyz, own, source, limit + 1e-9)
+        off = farthest(xyz, own, searched, limit + 1e-9)
         if off <= limit + 1e-9:
             yaw = np.unwrap(knots[:, 3])
             return np.column_stack([xyz, natural_spline(u, yaw, np.linspace(0, 1, n))]), off
